@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import mixing, packing, token_files
 
 QUERIES = {
     "op3_token_files": token_files.op3_token_files,
+    "op5_source_mixing": mixing.op5_source_mixing,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
