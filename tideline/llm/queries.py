@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, token_files
+from . import jaccard, mixing, packing, quality, suffixes, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
