@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, suffixes, token_files
+from . import jaccard, language, mixing, packing, quality, scoring, suffixes, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_language_id": language.op2_language_id,
     "op3_token_files": token_files.op3_token_files,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_masked_lm_scoring": scoring.op10_masked_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
