@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, scoring, suffixes, token_files
+from . import jaccard, language, media, mixing, packing, quality, scoring, suffixes, token_files
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language_id": language.op2_language_id,
     "op3_token_files": token_files.op3_token_files,
+    "op4_jpeg_media": media.op4_jpeg_media,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_suffix_dedup": suffixes.op6_suffix_dedup,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
