@@ -58,21 +58,21 @@ class Encoder:
 
     def _after_space(self, cuts: list[str]) -> None:
         """Puts the ids of each cut, with the space before it, into the cache."""
-        rest, pack, tokenize = [], self.pack, self.tokenizer.model.tokenize
+        rest, pack, tokenize, cache, space = [], self.pack, self.tokenizer.model.tokenize, self.cache, chr(_LETTERS[32])
         for cut in cuts:
-            core = cut.rstrip(_PUNCTUATION)
+            core = cut if cut.isalpha() else cut.rstrip(_PUNCTUATION)
             if not (self.fast and core.isalpha()):
                 rest.append(cut)
                 continue
-            tail = cut[len(core) :]
-            if tail not in self.tails:
-                self.tails[tail] = self._library([tail])[0]
-            ids = self.cache.get(core)
+            ids = cache.get(core)
             if ids is None:
-                piece = f" {core}".encode().decode("latin-1").translate(_LETTERS)
-                self.cache[core] = ids = b"".join([pack[t.id] for t in tokenize(piece)])
-            if tail:
-                self.cache[cut] = ids + self.tails[tail]
+                piece = space + (core if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS))
+                cache[core] = ids = b"".join([pack[t.id] for t in tokenize(piece)])
+            if len(core) < len(cut):
+                tail = cut[len(core) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._library([tail])[0]
+                cache[cut] = ids + self.tails[tail]
         self.cache.update(zip(rest, self._library([f" {c}" for c in rest]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -90,8 +90,8 @@ class Encoder:
             if i not in odd and t:
                 cut[i] = t.split(" ")
                 need.update(cut[i][1:])
-        need.difference_update(self.cache)
-        new = list(need)
+        cache = self.cache
+        new = [w for w in need if w not in cache]
         self._after_space(new)
         heads = self._library([parts[0] for parts in cut.values()])
         look = self.cache.__getitem__
