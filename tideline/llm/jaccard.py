@@ -234,5 +234,14 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of docs without those of a component's other documents; of equal rows one
+    stays. Texts without words are no one's copies and all stay, and so do rows without a doc_id."""
+    found = join(docs, k, percent).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c")).filter("doc_id <> c").select(F.col("doc_id").alias("__copy"))
+    left = docs.join(found, docs["doc_id"] == F.col("__copy"), "left_anti")
+    repeats = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    return left.dropDuplicates() if repeats else left
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
