@@ -4,10 +4,12 @@ A document's tokens are its distinct word shingles. In any global order of token
 is at least t share a token among the first n - ceil(t n) + 1 of each. Three orders are used: by length of the whole
 shingle, by its longest word (long ones are rare in any corpus), and by hash alone; tokens found in many prefixes,
 up to a fixed number of them, stand last in each. The first order makes candidates; those that do not also share a
-prefix token in the second and third go before any text is read; the rest are verified on whole texts.
+prefix token in the second and third go before any text is read; the rest are verified on whole texts. A pair is
+also dropped at a token if too few tokens of either are left from its place on, which cannot hold for the first
+token that near documents share.
 
 Equal sets are one class from the start. Within the documents of a prefix token, candidates are first pairs with
-one hub, a row for each member, so a large group of near copies never becomes all its pairs. Components of the links
+one hub (the one with the fewest tokens of its own), a row for each member, so a large group of near copies never becomes all its pairs. Components of the links
 found are then taken, and only pairs of a common token that are still in different components are made and verified.
 Every link that could join two components is thus tried.
 
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import lower, mix, slices, spans_hash, stored, table, utf8, words
 from .components import components
 
-#: Prefix tokens in more documents than COMMON stand last, MOST_COMMON of them at most (8 bytes each are broadcast).
+#: Tokens in more documents than COMMON, of those that share prefix tokens so common, stand last; MOST_COMMON of them at
+#: most (8 bytes each are broadcast). Any set of tokens here gives the same results; a good one gives fewer candidates.
 COMMON, MOST_COMMON = 64, 1 << 18
 BLOOM_BITS = 1 << 23
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -65,7 +68,7 @@ def set_hash(tokens: np.ndarray) -> np.uint64:
 
 
 def _prefixes(tokens: np.ndarray, size: np.ndarray, longest: np.ndarray, late: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix in each order. An order is a function of the token alone, so it is the same everywhere."""
+    """The prefix in each order, in that order. An order is a function of the token alone, so it is the same everywhere."""
     n = len(tokens)
     p = n - -(-percent * n // 100) + 1
     last = np.zeros(n, np.uint64)
@@ -77,7 +80,9 @@ def _prefixes(tokens: np.ndarray, size: np.ndarray, longest: np.ndarray, late: n
         rank = mix(tokens ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) >> np.uint64(9)
         if lead is not None:
             rank |= (255 - np.minimum(lead, 255)).astype(np.uint64) << np.uint64(55)
-        out.append(tokens[np.argpartition(rank | last, p - 1)[:p]] if p < n else tokens)
+        rank |= last
+        at = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
+        out.append(tokens[at[np.argsort(rank[at])]])
     return out
 
 
@@ -93,6 +98,27 @@ def _first_prefix(k: int, percent: int):
     return run
 
 
+def _all_of_common(common, k: int, percent: int):
+    """All tokens of documents that have a common token in their prefix."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, known = np.zeros(0, np.uint64), common.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = [t for t, s, l in shingles(part.column(0), k) if len(t) and np.isin(_prefixes(t, s, l, none, percent)[0], known).any()]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+
+    return run
+
+
+def _most_common(tokens: DataFrame) -> np.ndarray:
+    """Of tokens in more than COMMON rows the MOST_COMMON most frequent, sorted."""
+    seen = tokens.groupBy("token").count().filter(F.col("count") > COMMON)
+    found = seen.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
 def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], kind))
@@ -174,23 +200,30 @@ def _verified(k: int, percent: int):
     return run
 
 
-def _near(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 class _Join:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        seen = self.docs.select("text").mapInArrow(_first_prefix(k, percent), "token long").groupBy("token").count().filter(F.col("count") > COMMON)
-        late = np.sort(np.array([r[0] for r in seen.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").collect()], np.int64).view(np.uint64))
-        late = self.spark.sparkContext.broadcast(late)
+        texts, share = self.docs.select("text"), self.spark.sparkContext.broadcast
+        late = _most_common(texts.mapInArrow(_first_prefix(k, percent), "token long"))
+        if len(late):
+            late = _most_common(texts.mapInArrow(_all_of_common(share(late), k, percent), "token long"))
+        late = share(late)
         self.rows = stored(self.docs.mapInArrow(_sets(late, k, percent), "doc_id long, n long, h long, p1 array<long>, p2 array<int>, p3 array<int>"), "shingle-sets")
         first = [F.first(c).alias(c) for c in ("n", "p1", "p2", "p3")]
         self.classes = stored(self.rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), *first), "shingle-classes")
-        lists = self.classes.select("h", "n", F.explode("p1").alias("token"))
-        shared = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("h", "n")).alias("hub")).filter("c > 1").select("token", "hub")
-        self.lists = stored(lists.join(shared, "token").select("token", "h", "n", "hub"), "shingle-lists")
+        lists = self.classes.select("h", "n", F.posexplode("p1").alias("at", "token"))
+        # the hub has the token earliest, so it has the fewest tokens of its own
+        place = F.struct((F.col("at") / F.col("n")).alias("share"), "h", "n", "at")
+        shared = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(place).alias("hub")).filter("c > 1").select("token", "hub")
+        self.lists = stored(lists.join(shared, "token").select("token", "h", "n", "at", "hub"), "shingle-lists")
+
+    def _may(self, a: str, b: str) -> Column:
+        """Whether two documents whose first common token is this one can be near: by their sizes, and by how many
+        tokens of each are left from its place on."""
+        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+        left = F.least(na - F.col(f"{a}at"), nb - F.col(f"{b}at"))
+        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (left * (100 + self.percent) >= (na + nb) * self.percent)
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs(a, b) of classes, those that all orders allow and their texts confirm."""
@@ -209,15 +242,15 @@ class _Join:
         return full.mapInArrow(_verified(self.k, self.percent), "u long, v long")
 
     def run(self) -> DataFrame:
-        star = self.lists.filter(F.col("hub.h") != F.col("h")).filter(_near(F.col("hub.n"), F.col("n"), self.percent)).select(F.col("hub.h").alias("a"), F.col("h").alias("b")).distinct()
+        star = self.lists.filter(F.col("hub.h") != F.col("h")).filter(self._may("hub.", "")).select(F.col("hub.h").alias("a"), F.col("h").alias("b")).distinct()
         edges = stored(self.links(star, "star"), "links")
         roots = stored(components(edges), "roots")
         # tokens whose documents are still in several components
-        placed = self.lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("token", "h", "n", F.coalesce("root", "h").alias("root"))
+        placed = self.lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("root"))
         several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
         placed = stored(placed.join(several, "token", "left_semi"), "rest-lists")
         a, b = placed.alias("a"), placed.alias("b")
-        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & _near(F.col("a.n"), F.col("b.n"), self.percent)
+        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & self._may("a.", "b.")
         rest = a.join(b, apart).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
         more = self.links(rest, "rest")
         roots = components(edges.unionByName(more))
