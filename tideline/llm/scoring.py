@@ -82,7 +82,7 @@ class Learner:
 
     def __init__(self, flat: np.ndarray, rate: float = 0.1):
         self.flat, self.rate = flat.copy(), rate
-        self.squares = [np.full(s, 1e-3, np.float32) for s in SHAPES]
+        self.squares = [np.full(s, 1e-7, np.float32) for s in SHAPES]
         self.parts = _split(self.flat)
 
     def _step(self, i: int, g: np.ndarray, rows=slice(None)) -> None:
@@ -117,7 +117,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["hash", "n"])
 
 
-def _trained(start, classes, turn: int, batch_words: int = 1024):
+def _trained(start, classes, turn: int, batch_words: int = 256):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, n = Learner(start.value), 0
         for batch in batches:
