@@ -110,9 +110,9 @@ def test_redaction(spark, docs, odd):
 def test_scores_prefer_what_was_learned(spark, docs, odd):
     r = random.Random(1)
     line = lambda: " ".join(f"a{(k + j) % 12}" for k in [r.randrange(12)] for j in range(30))
-    rows = [(i, line(), "en", "a") for i in range(1500)]
+    rows = [(i, line(), "en", "a") for i in range(4000)]
     shuffled = [(5000 + i, " ".join(r.sample(t.split(), 30)), "en", "a") for i, (_, t, *_) in enumerate(rows[:60])]
-    classes, flat = scoring.train(docs(rows))
+    classes, flat = scoring.train(docs(rows).coalesce(2))
     score = lambda rs: [x for _, t, *_ in rs for h, first in [scoring.hashes(pa.array([t]))] for x in [scoring.log_probabilities(flat, *scoring.padded(classes[h], first)).mean()]]
     assert np.mean(score(rows[:60])) > -0.7 > -2.0 > np.mean(score(shuffled))
     got = scoring.score(docs(odd)).collect()
