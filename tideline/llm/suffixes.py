@@ -9,8 +9,10 @@
    sorted and give its Burrows-Wheeler transform, and the transforms are merged by iterative interleave refinement:
    each round passes the interleave through the merged transform and so sorts all suffixes by one more byte,
    without comparing suffixes of different shards. The round in which a border between neighbours appears is their
-   common prefix; the intervals without borders after `length` rounds are the repeated strings. The first place of each stays.
-   An anchor with very many different segments is split by the windows' own hashes, each window being a segment.
+   common prefix; the intervals without borders after all rounds are the repeated strings. The first place of each stays.
+   All windows of a segment hold its anchor, so the anchor's gram is one symbol there and rounds are fewer.
+   Segments of an anchor with very many are dealt out further, by ranges of the anchor's place in the window and by the
+   bytes that all windows of a range share; what is still too large is taken window by window, in parts by their hashes.
 4. Ranges are united per document and cut out of the text.
 
 Defined cases: a null text is empty; texts below `length` bytes lose nothing; a null doc_id comes before all others;
@@ -21,6 +23,7 @@ in order of their texts' hashes; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,13 +36,14 @@ from .common import _BYTE, _P, _P_INV, _power, mix, slices, spans_hash, stored,
 
 GRAM = 32
 BLOOM_BITS = 1 << 25
-BUCKET_BYTES, SHARD_BYTES, MANY = 1 << 18, 1 << 15, 1500
+BUCKET_BYTES, SHARD_SYMBOLS, MANY, MOST_SYMBOLS = 1 << 17, 1 << 15, 4000, 1 << 21
+RANGES = 4
 NULL_ID = -(1 << 63)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window, last window and text number of each run of windows with one anchor."""
-    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash and place, first window, last window and text number of each run of windows with one anchor."""
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
     if len(data) < length:
         return none
     n = len(data) - GRAM + 1
@@ -61,7 +65,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     at = anchor[window]
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1])]))
     last = np.concatenate([new[1:], [len(at)]]) - 1
-    return gram[at[new]], window[new], window[last], text[window[new]]
+    return gram[at[new]], at[new], window[new], window[last], text[window[new]]
 
 
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,50 +95,66 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     suffix, and the common prefix of each with the one before it, `length` standing for that or more."""
     sizes = [len(t) for t in transforms]
     n, bwt = sum(sizes), np.concatenate(transforms).astype(np.uint16)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint16), sizes)
     ends = np.sort(shard[bwt == 0], kind="stable")
-    source, block, common = np.arange(n), np.zeros(n, np.int64), np.full(n, length, np.int64)
-    border = np.zeros(n, bool)
+    places = np.arange(n, dtype=np.int32)
+    source, block, common = places, np.zeros(n, np.int32), np.full(n, length, np.int32)
+    border, new = np.zeros(n, bool), np.empty(n, bool)
     border[0], common[0] = True, 0
     for depth in range(length):
         symbol = bwt[source]
         order = np.argsort(symbol, kind="stable")
         symbol, old = symbol[order], block[order]
-        new = np.empty(n, bool)
         new[0] = True
-        new[1:] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        new[: len(ends)] = True
-        if len(ends) < n:
-            new[len(ends)] = True
-        common[new & ~border] = depth
+        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
+        new[1:] |= old[1:] != old[:-1]
+        new[: len(ends) + 1] = True
+        common[new > border] = depth
         border |= new
-        if border.all():
-            break
         turn = shard[source[order]]
         turn[: len(ends)] = ends
-        source = np.empty(n, np.int64)
-        source[np.argsort(turn, kind="stable")] = np.arange(n)
-        block = np.cumsum(border)
+        source = np.empty(n, np.int32)
+        source[np.argsort(turn, kind="stable")] = places
+        if border.all():
+            break
+        block = np.cumsum(border, dtype=np.int32)
     return source, common
 
 
-def repeated(strings: list[bytes], keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """String number and offset of each window that is not the first of its kind. keys: doc, text hash, start of each."""
-    text, starts, shards, begin = [], [], [], 0
-    size = 0
-    for i, s in enumerate(strings):
+def repeated(strings: list[bytes], anchors: np.ndarray, leads: np.ndarray, keys: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """String number and offset of each window that is not the first of its kind. Each string has its anchor's gram
+    at its lead, and all its windows hold it. keys: doc, text hash and start of each."""
+    total = sum(map(len, strings)) - (GRAM - 2) * len(strings)
+    if total > MOST_SYMBOLS and any(len(s) > length for s in strings):
+        found, parts = ([], []), np.uint64(-(-total // MOST_SYMBOLS) * length)
+        for part in range(int(parts)):
+            which, at = [], []
+            for i, s in enumerate(strings):
+                begin = np.arange(len(s) - length + 1)
+                mine = begin[spans_hash(np.frombuffer(s, np.uint8), begin, begin + length) % parts == np.uint64(part)]
+                which.append(np.full(len(mine), i))
+                at.append(mine)
+            w, o = np.concatenate(which), np.concatenate(at)
+            if len(w) > 1:
+                k, _ = repeated([strings[i][j : j + length] for i, j in zip(w, o, strict=True)], anchors[w], leads[w] - o, (keys[0][w], keys[1][w], keys[2][w] + o), length)
+                found[0].append(w[k])
+                found[1].append(o[k])
+        return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (np.zeros(0, np.int64),) * 2
+    _, name = np.unique(anchors, return_inverse=True)
+    text, starts, shards, begin, size = [], [], [], 0, 0
+    for i, (s, a, lead) in enumerate(zip(strings, name.tolist(), leads.tolist(), strict=True)):
         starts.append(size)
-        text.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 1)
-        text.append(np.zeros(1, np.uint16))
-        size += len(s) + 1
-        if size - begin >= SHARD_BYTES or i == len(strings) - 1:
+        raw = np.frombuffer(s, np.uint8)
+        text += [raw[:lead].astype(np.uint16) + 1, np.array([257 + a], np.uint16), raw[lead + GRAM :].astype(np.uint16) + 1, np.zeros(1, np.uint16)]
+        size += len(s) - GRAM + 2
+        if size - begin >= SHARD_SYMBOLS or i == len(strings) - 1:
             shards.append((begin, size))
             begin = size
-    whole, starts = np.concatenate(text), np.array(starts)
+    whole, starts, window = np.concatenate(text), np.array(starts), length - GRAM + 1
     sorted_ = [shard_transform(whole[a:b]) for a, b in shards]
     place = np.concatenate([o + a for (o, _), (a, _) in zip(sorted_, shards, strict=True)])
-    source, common = merge([t for _, t in sorted_], length)
-    group = np.cumsum(common < length)
+    source, common = merge([t for _, t in sorted_], window)
+    group = np.cumsum(common < window)
     many = np.bincount(group)[group] > 1
     at, group = place[source[many]], group[many]
     string = np.searchsorted(starts, at, "right") - 1
@@ -163,7 +183,7 @@ def _anchors(length: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                gram, _, _, text = segments(*utf8(part.column(1)), length)
+                gram, _, _, _, text = segments(*utf8(part.column(1)), length)
                 order = np.lexsort((gram, text))
                 gram, text = gram[order], text[order]
                 same = (gram[1:] == gram[:-1]) & (text[1:] == text[:-1])
@@ -195,10 +215,10 @@ def _segments(bloom, length: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column(1))
-                gram, first, last, text = segments(data, offsets, length)
+                gram, anchor, first, last, text = segments(data, offsets, length)
                 at = _bits(gram.view(np.int64))
                 keep = ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
-                gram, first, last, text = gram[keep], first[keep], last[keep], text[keep]
+                gram, anchor, first, last, text = gram[keep], anchor[keep], first[keep], last[keep], text[keep]
                 end = last + length
                 content = spans_hash(data, first, end)
                 doc = part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
@@ -209,38 +229,44 @@ def _segments(bloom, length: int):
                     sent.add(c)
                 if len(sent) > 500_000:
                     sent.clear()
-                columns = [gram.view(np.int64), content.view(np.int64), doc[text], hashed[text], first - offsets[text], end - first]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(strings, pa.binary())], names=["anchor", "content", "doc", "th", "start", "size", "bytes"])
+                columns = [gram.view(np.int64), content.view(np.int64), doc[text], hashed[text], first - offsets[text], end - first, anchor - first]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32 if k == 6 else np.int64)) for k, c in enumerate(columns)), pa.array(strings, pa.binary())], names=["anchor", "content", "doc", "th", "start", "size", "lead", "bytes"])
 
     return run
 
 
 def _dealt(length: int, buckets: int):
-    """Gives each segment its bucket; those of an anchor with many segments are taken apart into windows."""
+    """Gives each segment its bucket; those of an anchor with many are cut by ranges of the anchor's place in a window."""
+    width = length - GRAM
+    edges = [width * k // RANGES for k in range(RANGES)] + [width + 1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
-            for anchor, segments_, doc, th, start, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if segments_ <= MANY:
-                    rows = [(anchor % buckets, doc, th, start, raw)]
+            out = [[] for _ in range(7)]
+            for anchor, n, doc, th, start, lead, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n <= MANY:
+                    rows = [(anchor % buckets, anchor, doc, th, start, lead, raw)]
                 else:
-                    data = np.frombuffer(raw, np.uint8)
-                    at = np.arange(len(raw) - length + 1)
-                    rows = [(int(h % np.uint64(buckets)), doc, th, start + i, raw[i : i + length]) for i, h in enumerate(spans_hash(data, at, at + length))]
+                    rows = []
+                    least = lead - (len(raw) - length)
+                    for low, high in zip(edges[:-1], edges[1:], strict=True):
+                        a, b = max(low, least), min(high - 1, lead)
+                        if a <= b:
+                            shared = raw[lead - low : lead + length - (high - 1)]
+                            key = zlib.crc32(shared) << 20 ^ zlib.crc32(shared[::-1]) + low
+                            rows.append((key % buckets, anchor, doc, th, start + lead - b, b, raw[lead - b : lead - a + length]))
                 for column, values in zip(out, zip(*rows, strict=True), strict=True):
                     column.extend(values)
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "doc", "th", "start", "bytes"])
+            kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "anchor", "doc", "th", "start", "lead", "bytes"])
 
     return run
 
 
 def _merged(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        strings = list(pdf["bytes"])
         keys = pdf["doc"].to_numpy(), pdf["th"].to_numpy(), pdf["start"].to_numpy()
-        string, offset = repeated(strings, keys, length)
+        string, offset = repeated(list(pdf["bytes"]), pdf["anchor"].to_numpy(), pdf["lead"].to_numpy(), keys, length)
         string, start, end = _unite(string, offset, offset + length)
         base = keys[2][string]
         return pd.DataFrame({"doc": keys[0][string], "th": keys[1][string], "start": base + start, "end": base + end})
@@ -278,18 +304,18 @@ def ranges(docs: DataFrame, length: int = 100) -> DataFrame:
     for batch in again.mapInArrow(_bloom, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
         bits[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
     bloom = spark.sparkContext.broadcast(bits)
-    rows = docs.filter(F.octet_length("text") >= length).mapInArrow(_segments(bloom, length), "anchor long, content long, doc long, th long, start long, size long, bytes binary")
+    rows = docs.filter(F.octet_length("text") >= length).mapInArrow(_segments(bloom, length), "anchor long, content long, doc long, th long, start long, size long, lead int, bytes binary")
     rows = stored(rows, "segments")
     place = F.struct("doc", "th", "start")
-    firsts = rows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("bytes").alias("bytes"))
+    firsts = rows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.first("lead").alias("lead"))
     firsts = stored(firsts, "first-segments")
     copies = rows.select("anchor", "content", "doc", "th", "start", "size").join(firsts.filter("n > 1").select("anchor", "content", "first"), ["anchor", "content"])
     copies = copies.filter(place != F.col("first")).select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"))
     many = firsts.groupBy("anchor").agg(F.count("*").alias("segments"), F.sum(F.octet_length("bytes")).alias("size")).filter("segments > 1")
     many = stored(many, "shared-anchors")
     buckets = max(1, -(-(many.agg(F.sum("size")).first()[0] or 0) // BUCKET_BYTES))
-    several = firsts.join(many.select("anchor", "segments"), "anchor").select("anchor", "segments", "first.doc", "first.th", "first.start", "bytes")
-    dealt = several.mapInArrow(_dealt(length, buckets), "bucket long, doc long, th long, start long, bytes binary")
+    several = firsts.join(many.select("anchor", "segments"), "anchor").select("anchor", "segments", "first.doc", "first.th", "first.start", "lead", "bytes")
+    dealt = several.mapInArrow(_dealt(length, buckets), "bucket long, anchor long, doc long, th long, start long, lead int, bytes binary")
     merged = dealt.groupBy("bucket").applyInPandas(_merged(length), "doc long, th long, start long, end long")
     return copies.unionByName(merged)
 
