@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import lower, mix, slices, spans_hash, stored, table, utf8, words
 from .components import components
 
-#: Tokens in more documents than COMMON, of those that share prefix tokens so common, stand last; MOST_COMMON of them at
-#: most (8 bytes each are broadcast). Any set of tokens here gives the same results; a good one gives fewer candidates.
+#: Tokens in more documents than COMMON, of those that share prefix tokens so common, stand last; twice MOST_COMMON of them
+#: at most (8 bytes each are broadcast). Any set of tokens here gives the same results; a good one gives fewer candidates.
 COMMON, MOST_COMMON = 64, 1 << 18
 BLOOM_BITS = 1 << 23
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -67,23 +67,27 @@ def set_hash(tokens: np.ndarray) -> np.uint64:
     return mix(np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64))[0]
 
 
-def _prefixes(tokens: np.ndarray, size: np.ndarray, longest: np.ndarray, late: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix in each order, in that order. An order is a function of the token alone, so it is the same everywhere."""
-    n = len(tokens)
-    p = n - -(-percent * n // 100) + 1
-    last = np.zeros(n, np.uint64)
+def _first(tokens: np.ndarray, lead: np.ndarray | None, order: int, late: np.ndarray, n: int) -> np.ndarray:
+    """The first n tokens in an order: late ones last, then long ones first where a lead is given, then by a hash of the
+    order. It is a function of the token alone, so it is the same everywhere."""
+    rank = mix(tokens ^ np.uint64(0xD6E8FEB86659FD93 * (order + 1) & (1 << 64) - 1)) >> np.uint64(9)
+    if lead is not None:
+        rank |= (255 - np.minimum(lead, 255)).astype(np.uint64) << np.uint64(55)
     if len(late):
         at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-        last = (late[at] == tokens).astype(np.uint64) << np.uint64(63)
-    out = []
-    for k, lead in enumerate((size, longest, None)):
-        rank = mix(tokens ^ np.uint64(0xD6E8FEB86659FD93 * (k + 1) & (1 << 64) - 1)) >> np.uint64(9)
-        if lead is not None:
-            rank |= (255 - np.minimum(lead, 255)).astype(np.uint64) << np.uint64(55)
-        rank |= last
-        at = np.argpartition(rank, p - 1)[:p] if p < n else np.arange(n)
-        out.append(tokens[at[np.argsort(rank[at])]])
-    return out
+        rank |= (late[at] == tokens).astype(np.uint64) << np.uint64(63)
+    at = np.argpartition(rank, n - 1)[:n] if n < len(tokens) else np.arange(len(tokens))
+    return tokens[at[np.argsort(rank[at])]]
+
+
+def _prefix_size(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _prefixes(tokens: np.ndarray, size: np.ndarray, longest: np.ndarray, late: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The prefix in each order, in that order."""
+    p = _prefix_size(len(tokens), percent)
+    return [_first(tokens, lead, k, late, p) for k, lead in enumerate((size, longest, None))]
 
 
 def _first_prefix(k: int, percent: int):
@@ -91,21 +95,28 @@ def _first_prefix(k: int, percent: int):
         none = np.zeros(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [_prefixes(t, s, l, none, percent)[0] for t, s, l in shingles(part.column(0), k) if len(t)]
+                found = [_first(t, s, 0, none, _prefix_size(len(t), percent)) for t, s, _ in shingles(part.column(0), k) if len(t)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
     return run
 
 
-def _all_of_common(common, k: int, percent: int):
-    """All tokens of documents that have a common token in their prefix."""
+def _more_of_common(common, k: int, percent: int):
+    """Of documents with common tokens in their prefix, those that would follow when common ones go last: all tokens if
+    half of the prefix is common, else three prefixes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, known = np.zeros(0, np.uint64), common.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [t for t, s, l in shingles(part.column(0), k) if len(t) and np.isin(_prefixes(t, s, l, none, percent)[0], known).any()]
+                found = []
+                for tokens, size, _ in shingles(part.column(0), k):
+                    if len(tokens):
+                        p = _prefix_size(len(tokens), percent)
+                        share = np.isin(_first(tokens, size, 0, none, p), known).mean()
+                        if share:
+                            found.append(tokens if share >= 0.5 else _first(tokens, size, 0, none, 3 * p))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
@@ -207,7 +218,7 @@ class _Join:
         texts, share = self.docs.select("text"), self.spark.sparkContext.broadcast
         late = _most_common(texts.mapInArrow(_first_prefix(k, percent), "token long"))
         if len(late):
-            late = _most_common(texts.mapInArrow(_all_of_common(share(late), k, percent), "token long"))
+            late = np.union1d(late, _most_common(texts.mapInArrow(_more_of_common(share(late), k, percent), "token long")))
         late = share(late)
         self.rows = stored(self.docs.mapInArrow(_sets(late, k, percent), "doc_id long, n long, h long, p1 array<long>, p2 array<int>, p3 array<int>"), "shingle-sets")
         first = [F.first(c).alias(c) for c in ("n", "p1", "p2", "p3")]
