@@ -102,10 +102,11 @@ class Learner:
         self._step(2, h.T @ p)
         self._step(3, p.sum(0))
         self._step(1, back.sum(0))
+        weights, column = back.ravel(), np.arange(HIDDEN)
         for k, o in enumerate(AROUND):
-            g = np.zeros((CLASSES, HIDDEN), np.float32)
-            np.add.at(g, line[place + o], back)
-            self._step(0, g, k)
+            cell = line[place + o].astype(np.int64)[:, None] * HIDDEN + column
+            g = np.bincount(cell.ravel(), weights=weights, minlength=CLASSES * HIDDEN)
+            self._step(0, g.reshape(CLASSES, HIDDEN).astype(np.float32), k)
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
