@@ -107,6 +107,16 @@ def test_redaction(spark, docs, odd):
     assert out.count() == len(rows) + len(odd) and secrets.scan(docs([])).count() == 0 and secrets.scan(docs(odd)).filter("is_secret").count() == 0
 
 
+def test_long_assigned_secrets_are_found_whole(spark, docs):
+    r = random.Random(4)
+    value = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=400))
+    texts = [f'set token = "{value}" here', f"api_key: {value[:300]}$!{value[300:]}", f"password = {value * 5}"]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r for r in secrets.scan(docs(rows)).filter("is_secret").collect()}
+    assert {i: (f["start"], f["length"], f["rule"]) for i, f in found.items()} == {0: (13, 400, "assigned"), 1: (9, 402, "assigned"), 2: (11, 2000, "assigned")}
+    assert [r["text"] for r in secrets.redact(docs(rows)).orderBy("doc_id").collect()] == ['set token = "[SECRET]" here', "api_key: [SECRET]", "password = [SECRET]"]
+
+
 def test_scores_prefer_what_was_learned(spark, docs, odd):
     r = random.Random(1)
     line = lambda: " ".join(f"a{(k + j) % 12}" for k in [r.randrange(12)] for j in range(30))

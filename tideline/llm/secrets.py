@@ -35,7 +35,9 @@ _TOKEN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=."
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _NAME = re.compile(rb"([A-Za-z][A-Za-z0-9_\-]{0,40})[\"']?[ \t]*$")
-_ASSIGNED = re.compile(rb"[:=]{1,2}[ \t]*[\"']?([^\s\"',;<>(){}\[\]]{%d,256})" % VALUE)
+_ASSIGNED = re.compile(rb"[:=]{1,2}[ \t]*[\"']?([^\s\"',;<>(){}\[\]]{%d})" % VALUE)
+_STOP = np.zeros(256, bool)
+_STOP[[*b" \t\n\r\f\v\"',;<>(){}[]"]] = True
 _PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----(?:.*?-----END \1-----)?", re.S)
 _AROUND = re.compile(r"[A-Za-z][A-Za-z0-9_\-]*")
 _EXTENSION = re.compile(r"\.[A-Za-z]{1,5}$")
@@ -53,17 +55,18 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, in
     long = (end - start >= RUN) & (digits[end] > digits[start])
     for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True):
         found.append((a, b, "run"))
+    stops = np.append(np.flatnonzero(_STOP[data]), len(data))
     for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
         name = _NAME.search(raw, max(0, at - 44), at)
         if name and any(t in name[1].lower().decode() for t in TELLING):
             value = _ASSIGNED.match(raw, at)
             if value:
-                found.append((*value.span(1), "assigned"))
+                found.append((value.start(1), int(stops[np.searchsorted(stops, value.end(1))]), "assigned"))
     if b"-----BEGIN " in raw:
         found += [(*m.span(), "private_key") for m in _PEM.finditer(raw)]
     out, done = [], 0
     rank = {"private_key": 0, "assigned": 1, "run": 2}
-    for a, b, rule in sorted(found, key=lambda x: (x[0], rank[x[2]], -x[1])):
+    for a, b, rule in sorted(found, key=lambda x: (x[0], -x[1], rank[x[2]])):
         text = int(np.searchsorted(offsets, a, "right")) - 1
         b = min(b, int(offsets[text + 1]))
         while rule != "private_key" and b > a and raw[b - 1 : b] in (b".", b"!", b"#", b"%", b"&", b"*", b"$", b"|"):
