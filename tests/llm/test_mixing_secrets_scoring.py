@@ -117,6 +117,20 @@ def test_long_assigned_secrets_are_found_whole(spark, docs):
     assert [r["text"] for r in secrets.redact(docs(rows)).orderBy("doc_id").collect()] == ['set token = "[SECRET]" here', "api_key: [SECRET]", "password = [SECRET]"]
 
 
+def test_verdicts_do_not_depend_on_the_rows_beside(spark, docs):
+    pem = SECRETS[5]
+    texts = ["It ends here.", "ghp_Zk3pQ9sLw0RtYx7VbNm2Hc8DqJfGuW5e is bare", "", "auth.token", "=9f8Kq2LmZ7xW4vB1nT6y", "password: ", "Tr0ub4dor&3xyzAbc and", pem[:40], pem[40:], "-----BE", "GIN RSA PRIVATE KEY-----", *SECRETS, *HARMLESS]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    keys = ("doc_id", "start", "length", "rule", "score")
+    together = sorted(tuple(r[k] for k in keys) for r in secrets.scan(docs(rows).coalesce(1)).collect())
+    alone = sorted(tuple(r[k] for k in keys) for r in secrets.scan(docs(rows).repartitionByRange(len(rows), "doc_id")).collect())
+    assert together == alone
+    assert (1, 0, 36, "run") in {t[:4] for t in together}
+    assert secrets.redact(docs(rows).coalesce(1)).filter("doc_id = 1").first()["text"] == "[SECRET] is bare"
+    slow = sorted((i, a, b - a, rule) for i, t in enumerate(texts) for _, a, b, rule in secrets.candidates(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))
+    assert [t[:4] for t in together] == slow
+
+
 def test_scores_prefer_what_was_learned(spark, docs, odd):
     r = random.Random(1)
     line = lambda: " ".join(f"a{(k + j) % 12}" for k in [r.randrange(12)] for j in range(30))

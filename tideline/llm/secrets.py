@@ -46,29 +46,37 @@ FEATURES = ("length", "entropy", "digits", "capitals", "switches", "rare_steps",
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, str]]:
-    """Text number, first and last byte (exclusive, in data) and rule of each candidate."""
+    """Text number, first and last byte (exclusive, in data) and rule of each candidate; none depends on the texts beside its own."""
     raw, found = data.tobytes(), []
     inside = _TOKEN[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    start, end = edge[::2], edge[1::2]
+    borders = offsets[(offsets > 0) & (offsets < len(data))]
+    before, after = np.zeros_like(inside), np.zeros_like(inside)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    before[borders] = after[borders - 1] = False
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     long = (end - start >= RUN) & (digits[end] > digits[start])
     for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True):
         found.append((a, b, "run"))
     stops = np.append(np.flatnonzero(_STOP[data]), len(data))
-    for at in np.flatnonzero((data == 61) | (data == 58)).tolist():
-        name = _NAME.search(raw, max(0, at - 44), at)
+    signs = np.flatnonzero((data == 61) | (data == 58))
+    own = np.searchsorted(offsets, signs, "right")
+    for at, first, last in zip(signs.tolist(), offsets[own - 1].tolist(), offsets[own].tolist(), strict=True):
+        name = _NAME.search(raw, max(first, at - 44), at)
         if name and any(t in name[1].lower().decode() for t in TELLING):
-            value = _ASSIGNED.match(raw, at)
+            value = _ASSIGNED.match(raw, at, last)
             if value:
-                found.append((value.start(1), int(stops[np.searchsorted(stops, value.end(1))]), "assigned"))
-    if b"-----BEGIN " in raw:
-        found += [(*m.span(), "private_key") for m in _PEM.finditer(raw)]
+                found.append((value.start(1), min(last, int(stops[np.searchsorted(stops, value.end(1))])), "assigned"))
+    at = raw.find(b"-----BEGIN ")
+    while at >= 0:
+        block = _PEM.match(raw, at, int(offsets[np.searchsorted(offsets, at, "right")]))
+        if block:
+            found.append((*block.span(), "private_key"))
+        at = raw.find(b"-----BEGIN ", block.end() if block else at + 1)
     out, done = [], 0
     rank = {"private_key": 0, "assigned": 1, "run": 2}
     for a, b, rule in sorted(found, key=lambda x: (x[0], -x[1], rank[x[2]])):
         text = int(np.searchsorted(offsets, a, "right")) - 1
-        b = min(b, int(offsets[text + 1]))
         while rule != "private_key" and b > a and raw[b - 1 : b] in (b".", b"!", b"#", b"%", b"&", b"*", b"$", b"|"):
             b -= 1
         if a >= done and b - a >= VALUE:
