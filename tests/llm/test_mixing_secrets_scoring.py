@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +146,31 @@ def test_scores_prefer_what_was_learned(spark, docs, odd):
     assert scoring.score(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 300, 0])
+def test_each_word_is_predicted_itself(spark, docs, odd, hot, monkeypatch):
+    if hot is not None:
+        monkeypatch.setattr(scoring, "HOT", hot)
+    r = random.Random(6)
+    rows = [(100 + i, " ".join(f"w{int(r.paretovariate(0.6)) % 3000}" for _ in range(60)), "en", "a") for i in range(200)] + odd
+    seen = Counter(w for _, t, *_ in rows for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()))
+    classes, flat = scoring.train(docs(rows).coalesce(1))
+    number = lambda t: scoring.hashes(pa.array([t]))
+    name = {w: int(classes[number(w.decode())[0]][0]) for w in seen}
+    size = Counter()
+    for w, n in seen.items():
+        size[name[w]] += n
+    assert len(seen) > 600 and len({c for c in name.values()}) > (100 if hot is None else 30)
+    got = {}
+    for g in scoring.score(docs(rows).coalesce(1)).collect():
+        got.setdefault((g["doc_id"], g["n_words"]), []).append((g["log_likelihood"], g["score"]))
+    assert sum(map(len, got.values())) == len(rows)
+    for i, t, *_ in rows[:200] + [x for x in odd if x[0] in (6, 10)]:
+        h, first = number(t)
+        words = t.encode().lower().split()
+        want = scoring.log_probabilities(flat, *scoring.padded(classes[h], first)).sum() + sum(np.log(seen[w] / size[name[w]]) for w in words)
+        assert got[i, len(words)][0] == pytest.approx((want, want / len(words)), rel=1e-6)
+
+
 def test_a_word_never_sees_itself():
     flat = np.random.default_rng(1).normal(0, 1, sum(int(np.prod(s)) for s in scoring.SHAPES)).astype(np.float32)
     tables, bias, w, b = scoring._split(flat)

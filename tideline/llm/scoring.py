@@ -1,8 +1,11 @@
 """Operator 10: document scores by masked pseudo-likelihood.
 
 A network with one hidden layer predicts a word from the WINDOW words on each side, never from the word itself. A
-document's score is the sum of the log-probabilities of all its words, each from both sides. Words are classes of
-hashed, lower-cased words: the most frequent hashes, counted over all documents, and classes for the rest.
+document's score is the sum of the log-probabilities of all its words, each from both sides. A lower-cased word's probability
+is that of its class, by the network, times its share of the class's occurrences in all documents; the most frequent words are classes
+of their own. The vocabulary is every word of the corpus, kept as a stored table of 64-bit hashes and counts.
+
+The HOT most frequent words' counts are broadcast, which only spares joins; all other words are joined with the table.
 
 Training reads every document in each round: each partition starts from the parameters of the round before and
 learns masked words (a hash of text and place chooses MASK of them); the parameters, weighed by words, are then averaged.
@@ -19,13 +22,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lower, mix, slices, spans_hash, stored, table, utf8, words
 
 WINDOW, CLASSES, FREQUENT, HIDDEN = 3, 256, 215, 24
-HASHES, BORDER, GROUPS, MASK, ROUNDS = 1 << 16, CLASSES - 1, 8, 0.15, 2
+BORDER, GROUPS, MASK, ROUNDS = CLASSES - 1, 8, 0.15, 2
+SHARED = BORDER - FREQUENT
+HOT, MERGE = 1 << 18, 1 << 20
 SHAPES = ((2 * WINDOW, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
 
@@ -45,7 +51,28 @@ def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(texts)
     data = lower(data)
     s, e, first = words(data, offsets)
-    return (spans_hash(data, s, e) >> np.uint64(48)).astype(np.int64), first
+    return spans_hash(data, s, e).view(np.int64), first
+
+
+class Classes:
+    """The class of each word by its hash: a class of their own for frequent words, one of SHARED classes for others."""
+
+    def __init__(self, frequent: np.ndarray):
+        order = np.argsort(frequent)
+        self.hashes, self.numbers = frequent[order], order
+
+    def __getitem__(self, h: np.ndarray) -> np.ndarray:
+        out = FREQUENT + h % SHARED
+        at, own = found(self.hashes, h)
+        out[own] = self.numbers[at]
+        return out.astype(np.uint8)
+
+
+def found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in sorted keys of those of h that are there, and which of h they are."""
+    at = np.searchsorted(keys, h)
+    own = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.zeros(0, np.int64)
+    return at[own], own
 
 
 def padded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +137,21 @@ class Learner:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(HASHES, np.int64)
+    def merged() -> pa.RecordBatch:
+        h, back = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([k[1] for k in kept]), minlength=len(h)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["hash", "n"])
+
+    kept, size = [], 0
     for batch in batches:
         for part in slices(batch, "text"):
-            seen += np.bincount(hashes(part.column(0))[0], minlength=HASHES)
-    at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["hash", "n"])
+            kept.append(np.unique(hashes(part.column(0))[0], return_counts=True))
+            size += len(kept[-1][0])
+            if size > MERGE:
+                yield merged()
+                kept, size = [], 0
+    if size:
+        yield merged()
 
 
 def _trained(start, classes, turn: int, batch_words: int = 256):
@@ -146,29 +182,48 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
 
 
-def _scored(flat, classes):
+def _scored(flat, classes, hot):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
                 h, first = hashes(part.column(1))
-                total = np.concatenate([[0], np.cumsum(log_probabilities(flat.value, *padded(classes.value[h], first)))])
-                n = np.diff(first)
-                found = total[first[1:]] - total[first[:-1]]
-                mean = pa.array(found / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(found), mean], names=["doc_id", "n_words", "log_likelihood", "score"])
+                own = classes.value[h]
+                each = log_probabilities(flat.value, *padded(own, first))
+                shared = np.flatnonzero(own >= FREQUENT)
+                at, known = found(hot.value[0], h[shared])
+                each[shared[known]] += hot.value[1][at]
+                rare = np.delete(shared, known)
+                total = np.concatenate([[0], np.cumsum(each)])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, first), pa.int32()), pa.array(h[rare], pa.int64()))
+                rows = pa.array(np.arange(row, row + len(part)))
+                row += len(part)
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), pa.array(np.diff(first)), pa.array(total[first[1:]] - total[first[:-1]]), lists], names=["row", "doc_id", "n_words", "part", "rare"])
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each hash and the parameters, from all of docs(text)."""
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """The hash of each word of docs(text) and how often it occurs."""
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    return stored(texts.mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "vocabulary")
+
+
+def most_frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of words with at least so many occurrences that they are no more than HOT, most frequent first, and that number."""
+    sizes = sorted(((r["n"], r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True)
+    fit = int(np.searchsorted(np.cumsum([c for _, c in sizes]), HOT, "right")) if sizes else 0
+    least = sizes[fit - 1][0] if fit else (sizes[0][0] if sizes else 0) + 1
+    hot = counted.filter(F.col("n") >= least).select("hash", "n").toArrow()
+    h, n = (hot.column(c).to_numpy().astype(np.int64) for c in ("hash", "n"))
+    order = np.lexsort((h, -n))
+    return h[order], n[order], least
+
+
+def train(docs: DataFrame, frequent: np.ndarray | None = None) -> tuple[Classes, np.ndarray]:
+    """The classes of words and the parameters, from all of docs(text)."""
     spark, texts = docs.sparkSession, docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    seen = np.zeros(HASHES, np.int64)
-    for r in texts.mapInArrow(_counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).collect():
-        seen[r["hash"]] = r["n"]
-    classes = (FREQUENT + np.arange(HASHES) % (BORDER - FREQUENT)).astype(np.uint8)
-    top = np.argsort(-seen, kind="stable")[:FREQUENT]
-    classes[top] = np.arange(len(top))
+    classes = Classes((most_frequent(vocabulary(docs))[0] if frequent is None else frequent)[:FREQUENT])
     flat, kept = first_parameters(), spark.sparkContext.broadcast(classes)
     for turn in range(ROUNDS):
         each = texts.mapInArrow(_trained(spark.sparkContext.broadcast(flat), kept, turn), "n long, flat binary")
@@ -181,9 +236,23 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum) and score (mean) for each row of docs(doc_id, text)."""
-    classes, flat = train(docs)
-    share = docs.sparkSession.sparkContext.broadcast
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(share(flat), share(classes)), "doc_id long, n_words long, log_likelihood double, score double")
+    share, counted = docs.sparkSession.sparkContext.broadcast, vocabulary(docs)
+    h, n, least = most_frequent(counted)
+    classes, flat = train(docs, h)
+    sizes = np.zeros(SHARED)
+    for r in counted.groupBy(F.pmod("hash", F.lit(SHARED)).alias("class")).agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
+    sizes -= np.bincount(h[:FREQUENT] % SHARED, weights=n[:FREQUENT], minlength=SHARED)
+    rest, order = h[FREQUENT:], np.argsort(h[FREQUENT:])
+    inside = np.log(n[FREQUENT:]) - np.log(sizes[rest % SHARED])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = texts.mapInArrow(_scored(share(flat), share(classes), share((rest[order], inside[order]))), "row long, doc_id long, n_words long, part double, rare array<long>")
+    parts = stored(parts, "scored-parts")
+    size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), (F.pmod("hash", F.lit(SHARED)) + 1).cast("int"))
+    rare = parts.select("row", F.explode("rare").alias("hash")).join(counted.filter(F.col("n") < least), "hash")
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_words"), (F.log("n") - F.log(size)).alias("part"))
+    whole = parts.drop("rare").unionByName(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("log_likelihood"))
+    return whole.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("score"))
 
 
 def op10_masked_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
