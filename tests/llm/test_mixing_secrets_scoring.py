@@ -171,6 +171,22 @@ def test_each_word_is_predicted_itself(spark, docs, odd, hot, monkeypatch):
         assert got[i, len(words)][0] == pytest.approx((want, want / len(words)), rel=1e-6)
 
 
+def test_every_word_is_learned_once(monkeypatch):
+    texts = pa.array([" ".join(f"w{i * j % 71}" for j in range(300)) for i in range(30)] + ["", None, "one"])
+    h, first = scoring.hashes(texts)
+    classes = scoring.Classes(np.unique(h)[:50])
+    line, every = scoring.padded(classes[h], first)
+    learned = []
+    monkeypatch.setattr(scoring.Learner, "learn", lambda self, line, place: learned.extend(place.tolist()))
+
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    n = [list(scoring._trained(Held(scoring.first_parameters()), Held(classes), turn)([pa.RecordBatch.from_arrays([texts], names=["text"])]))[0].column(0)[0].as_py() for turn in range(scoring.ROUNDS)]
+    assert sorted(learned) == every.tolist() and sum(n) == len(every) and min(n) > 0.4 * len(every)
+
+
 def test_a_word_never_sees_itself():
     flat = np.random.default_rng(1).normal(0, 1, sum(int(np.prod(s)) for s in scoring.SHAPES)).astype(np.float32)
     tables, bias, w, b = scoring._split(flat)

@@ -8,7 +8,8 @@ of their own. The vocabulary is every word of the corpus, kept as a stored table
 The HOT most frequent words' counts are broadcast, which only spares joins; all other words are joined with the table.
 
 Training reads every document in each round: each partition starts from the parameters of the round before and
-learns masked words (a hash of text and place chooses MASK of them); the parameters, weighed by words, are then averaged.
+learns the round's words (a hash of word and place deals all words to the rounds, each to one); the parameters, weighed by words,
+are then averaged.
 What is gathered is a set of parameters and of hash counts per partition, so it grows with the input; sums are taken
 in groups, and the driver gets GROUPS rows.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import lower, mix, slices, spans_hash, stored, table, utf8, words
 
 WINDOW, CLASSES, FREQUENT, HIDDEN = 3, 256, 215, 24
-BORDER, GROUPS, MASK, ROUNDS = CLASSES - 1, 8, 0.15, 2
+BORDER, GROUPS, ROUNDS = CLASSES - 1, 8, 2
 SHARED = BORDER - FREQUENT
 HOT, MERGE = 1 << 18, 1 << 20
 SHAPES = ((2 * WINDOW, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
@@ -91,21 +92,28 @@ def _hidden(tables: np.ndarray, bias: np.ndarray, line: np.ndarray, place: np.nd
     return np.tanh(total, out=total)
 
 
-def log_probabilities(flat: np.ndarray, line: np.ndarray, place: np.ndarray, step: int = 8192) -> np.ndarray:
+def _large(out_w: np.ndarray, out_b: np.ndarray) -> bool:
+    """Whether exponents could leave the range of floats; hidden values are within 1."""
+    return bool((np.abs(out_w).sum(0) + np.abs(out_b)).max() > 60)
+
+
+def log_probabilities(flat: np.ndarray, line: np.ndarray, place: np.ndarray, step: int = 512) -> np.ndarray:
     tables, bias, out_w, out_b = _split(flat)
-    out = np.empty(len(place), np.float64)
+    out, large = np.empty(len(place), np.float64), _large(out_w, out_b)
     for a in range(0, len(place), step):
         at = place[a : a + step]
-        logits = _hidden(tables, bias, line, at) @ out_w + out_b
+        logits = _hidden(tables, bias, line, at) @ out_w
+        logits += out_b
+        if large:
+            logits -= logits.max(1, keepdims=True)
         own = logits[np.arange(len(at)), line[at]].astype(np.float64)
-        top = logits.max(1)
-        np.exp(np.subtract(logits, top[:, None], out=logits), out=logits)
-        out[a : a + step] = own - top - np.log(logits.sum(1, dtype=np.float64))
+        np.exp(logits, out=logits)
+        out[a : a + step] = own - np.log(logits.sum(1).astype(np.float64))
     return out
 
 
 class Learner:
-    """Adaptive gradient steps on masked words."""
+    """Adaptive gradient steps on the words at given places."""
 
     def __init__(self, flat: np.ndarray, rate: float = 0.1):
         self.flat, self.rate = flat.copy(), rate
@@ -113,18 +121,23 @@ class Learner:
         self.parts = _split(self.flat)
 
     def _step(self, i: int, g: np.ndarray, rows=slice(None)) -> None:
-        self.squares[i][rows] += g * g
-        self.parts[i][rows] -= self.rate * g / np.sqrt(self.squares[i][rows])
+        squares, part = self.squares[i][rows], self.parts[i][rows]
+        squares += g * g
+        step = np.sqrt(squares)
+        np.divide(g, step, out=step)
+        step *= self.rate
+        part -= step
 
     def learn(self, line: np.ndarray, place: np.ndarray) -> None:
         tables, bias, out_w, out_b = self.parts
         h = _hidden(tables, bias, line, place)
-        p = h @ out_w + out_b
-        p -= p.max(1, keepdims=True)
+        p = h @ out_w
+        p += out_b
+        if _large(out_w, out_b):
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(place)), line[place]] -= 1
-        p /= len(place)
+        p *= 1 / (p.sum(1, keepdims=True) * len(place))
+        p[np.arange(len(place)), line[place]] -= 1 / len(place)
         back = (p @ out_w.T) * (1 - h * h)
         self._step(2, h.T @ p)
         self._step(3, p.sum(0))
@@ -154,6 +167,11 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
+def dealt(h: np.ndarray) -> np.ndarray:
+    """The round in which each word of a slice is learned."""
+    return (mix((h + np.arange(len(h)) * 65536).astype(np.uint64)) % np.uint64(ROUNDS)).astype(np.int64)
+
+
 def _trained(start, classes, turn: int, batch_words: int = 256):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner, n = Learner(start.value), 0
@@ -161,8 +179,7 @@ def _trained(start, classes, turn: int, batch_words: int = 256):
             for part in slices(batch, "text"):
                 h, first = hashes(part.column(0))
                 line, place = padded(classes.value[h], first)
-                draw = mix((h + np.arange(len(h)) * 65536 + turn).astype(np.uint64)) >> np.uint64(11)
-                place = place[draw < MASK * 2**53]
+                place = place[dealt(h) == turn]
                 for a in range(0, len(place), batch_words):
                     learner.learn(line, place[a : a + batch_words])
                 n += len(place)
