@@ -97,3 +97,13 @@ def test_nothing_to_learn(spark, docs):
     df = docs([(1, "some text", None, "a"), (2, None, "en", "a")])
     assert language.reject_unclear(df).count() == 0
     assert language.reject_unclear(docs([])).count() == 0
+
+
+def test_every_language_is_learned(spark, docs):
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + j) for j in range(30))
+    rows = [(10 * i + j, f"{word(i)} {word(i)[::-1]}", f"l{i:03}", "a") for i in range(300) for j in range(10)]
+    for most in (50, 4000):
+        model = language.learn(docs(rows), most)
+        names, _ = model.predict(pa.array([word(i) for i in range(300)]))
+        assert model.languages == [f"l{i:03}" for i in range(300)]
+        assert np.mean([n == f"l{i:03}" for i, n in enumerate(names)]) > 0.95

@@ -1,13 +1,13 @@
 """Operator 2: language identification by sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Document frequencies are counted over all learning documents. The regression is fitted on the driver, by
-follow-the-regularised-leader with elastic-net penalties, on a sample of labelled documents of at most MAX_DOCS rows
-(dealt evenly over languages; each row is at most BUCKETS feature counts). A fifth of the sample is left out of the
+follow-the-regularised-leader with elastic-net penalties, on a sample of labelled documents: about MAX_DOCS rows, at
+most twice as many, and one for each language that has none among them (dealt evenly over languages; each row is at most BUCKETS feature counts). A fifth of the sample is left out of the
 fit and sets the temperature by which scores are calibrated. Prediction reads the whole of every text, and only the text.
 
 Defined cases: a null text or one without letters is `und` with score 0, and so is every text if nothing could be
 learned; documents without a language, or with a null doc_id, are not learned from; repeated rows are learned from
-as often as they stand there; an empty table gives no rows; beyond MAX_LANGUAGES the rarest languages are not learned; other columns are kept by `reject_unclear`.
+as often as they stand there; an empty table gives no rows; every language with letters in a learning text is learned; other columns are kept by `reject_unclear`.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from .common import slices, table, utf8
 
 BITS = 15
 BUCKETS = 1 << BITS
-MAX_DOCS, MAX_LANGUAGES = 4000, 256
+MAX_DOCS = 4000
 UNKNOWN = "und"
 
 
@@ -159,7 +159,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Fits on docs(doc_id, text, lang) that are not held out and have a language."""
     learning = docs.select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("key"), held_out().alias("h")).filter("NOT h AND lang IS NOT NULL AND text IS NOT NULL").drop("h")
-    sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
     seen = np.zeros(BUCKETS + 1, np.int64)
@@ -167,12 +167,22 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
         seen[r["feature"]] = r["n"]
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     languages, each = sorted(sizes), max_docs / len(sizes)
+    number = {lang: i for i, lang in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / sizes[lang]))])
     chosen = learning.filter(F.pmod(F.shiftright("key", 11), F.lit(1 << 52)) < share[F.col("lang")] * (1 << 52)).limit(2 * max_docs)
     rows = chosen.mapInArrow(_counted, "lang string, key long, at array<int>, counts array<int>").toArrow().to_pylist()
-    rows = [(tfidf(at := np.array(r["at"]), np.array(r["counts"]), idf), at, languages.index(r["lang"]), r["key"]) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))]
-    fit = [(at, x, y) for x, at, y, key in rows if key % 5]
-    rest = [(at, x, y) for x, at, y, key in rows if key % 5 == 0]
+    there = {r["lang"] for r in rows if r["key"] % 5}
+    if lacking := [lang for lang in languages if lang not in there]:
+        first = learning.join(F.broadcast(docs.sparkSession.createDataFrame([(lang,) for lang in lacking], "lang string")), "lang").select("text", "lang", "key")
+        first = first.mapInArrow(_counted, "lang string, key long, at array<int>, counts array<int>").groupBy("lang").agg(F.min_by(F.struct("lang", "key", "at", "counts"), "key").alias("r"))
+        lone = first.select("r.*").toArrow().to_pylist()
+        taken = {(r["lang"], r["key"]) for r in lone}
+        rows = [r for r in rows if (r["lang"], r["key"]) not in taken] + lone
+    else:
+        taken = set()
+    rows = [(tfidf(at := np.array(r["at"]), np.array(r["counts"]), idf), at, number[r["lang"]], bool(r["key"] % 5) or (r["lang"], r["key"]) in taken) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))]
+    fit = [(at, x, y) for x, at, y, fits in rows if fits]
+    rest = [(at, x, y) for x, at, y, fits in rows if not fits]
     weights = ftrl(fit, len(languages))
     heat = temperature(np.stack([x @ weights[at] for at, x, _ in rest]), np.array([y for _, _, y in rest])) if rest else 1.0
     return Model(languages, idf, weights, heat)
