@@ -15,12 +15,7 @@ from ..functions.keys import visible
 from ..operators.fold import KEY
 from ..operators.maintenance import compact, replayed
 from ..schemas import LOG, VERSIONS, struct
-
-
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+from ..session import file_system
 
 
 def write_versions(versions: DataFrame, path: str, files: int | None = None, mode: str = "append") -> None:
@@ -56,11 +51,11 @@ def snapshot(versions: DataFrame, root: str, seq: int, partition_id: int = 0, re
 
 def snapshots(spark: SparkSession, root: str, partition_id: int = 0) -> list[int]:
     """The seqs of whole snapshots."""
-    fs, top = _files(spark, f"{root}/{partition_id}")
+    fs, top = file_system(spark, f"{root}/{partition_id}")
     if not fs.exists(top):
         return []
     found = (s.getPath() for s in fs.listStatus(top) if s.isDirectory())
-    return sorted(int(p.getName()) for p in found if fs.exists(_files(spark, f"{p}/manifest/_SUCCESS")[1]))
+    return sorted(int(p.getName()) for p in found if fs.exists(file_system(spark, f"{p}/manifest/_SUCCESS")[1]))
 
 
 def restore(spark: SparkSession, root: str, seq: int, partition_id: int = 0) -> DataFrame:
