@@ -54,9 +54,16 @@ def test_mix_keeps_columns_and_agrees(spark, docs, odd):
     assert all(r["taken"] == 0 for r in mixing.shares(docs([(1, None, "en", "a"), (2, "", "en", None)])).collect())
 
 
-def test_equal_rows_fall_together(spark, docs):
-    got = mixing.shares(docs([(1, "a b c", "en", "x")] * 50 + [(2, "a b", "en", "y")])).collect()
-    assert len({(r["doc_id"], r["taken"]) for r in got}) == 2
+def test_equal_rows_are_cut_between(spark, docs):
+    rows = [(1, " ".join("abcdefghij"), "en", "x")] * 60 + [(2, " ".join(["w"] * 1000), "en", "y")]
+    df = docs(rows).repartition(7)
+    got = mixing.shares(df).collect()
+    for source, ids in (("x", {1}), ("y", {2})):
+        target = next(g["target"] for g in got if g["doc_id"] in ids)
+        biggest = 10 if source == "x" else 1000
+        assert abs(sum(g["taken"] for g in got if g["doc_id"] in ids) - target) <= biggest
+    assert sorted(map(tuple, mixing.shares(docs(rows)).collect())) == sorted(map(tuple, got))
+    assert sum(r["doc_id"] == 1 for r in mixing.mix(df).collect()) == sum(g["taken"] for g in got if g["doc_id"] == 1) // 10
 
 
 SECRETS = [

@@ -27,4 +27,5 @@ def _pipeline(spark, sf_dir):
 QUERIES["pipeline"] = _pipeline
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality.oracle_sql(),
+    "op5_source_mixing": mixing.oracle_sql(),
 }
