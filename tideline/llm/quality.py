@@ -91,7 +91,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """stratum and one cutoff per measure (null: none is safe), from labels(doc_id, quality)."""
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    held = measured.filter(~_base_failed()).join(good, "doc_id").select("stratum", *[c.alias(m) for m, c in _scores().items()])
+    # repeated rows are one trial
+    held = measured.filter(~_base_failed()).join(good, "doc_id").select("stratum", "doc_id", *[c.alias(m) for m, c in _scores().items()]).distinct()
     over = [F.count(F.when(F.col(m) > c, 1)).alias(f"{m}_{i}") for m, grid in GRIDS.items() for i, c in enumerate(grid)]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *over)
     strata = counts.agg(F.count("*").alias("strata"))
@@ -138,7 +139,7 @@ m AS (SELECT w.doc_id, stratum, len(ws)::BIGINT AS n_words, length(regexp_replac
   FROM w LEFT JOIN rep USING (doc_id)),
 s AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{c} AS {k}" for k, c in scores.items())} FROM m),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT s.* FROM s JOIN good USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT DISTINCT doc_id, stratum, symbols, same_lines, capitals, word_length FROM s JOIN good USING (doc_id) WHERE NOT base_failed),
 long AS (SELECT stratum, unnest(['symbols', 'same_lines', 'capitals', 'word_length']) AS measure, unnest([symbols, same_lines, capitals, word_length]) AS score FROM held),
 grid(measure, step, cutoff) AS (VALUES {grid}),
 k AS (SELECT stratum, measure, step, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM long JOIN grid USING (measure) GROUP BY ALL),
