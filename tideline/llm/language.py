@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import slices, small_batches, table, utf8
 
 BITS = 15
 BUCKETS = 1 << BITS
 MAX_DOCS = 4000
 UNKNOWN = "und"
+COUNTED = "lang string, key long, at array<int>, counts array<int>"
 
 
 def _fold() -> np.ndarray:
@@ -83,9 +84,11 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [(lang, key, np.flatnonzero(c).tolist(), c[c > 0].tolist()) for c, lang, key in zip(grams(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True) if c is not None]
+            rows = [(i, np.flatnonzero(c), c[c > 0]) for i, c in enumerate(grams(part.column(0))) if c is not None]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["lang", "key", "at", "counts"])
+                own, ends = pa.array([r[0] for r in rows]), pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rows]).astype(np.int32))) for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(own), part.column(2).take(own), *lists], names=["lang", "key", "at", "counts"])
 
 
 def tfidf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -93,6 +96,18 @@ def tfidf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum())
 
 
+def _rows(found: pa.Table, idf: np.ndarray) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """Language, key, features and their values of each row."""
+    out = []
+    for batch in found.to_batches():
+        at, counts = batch.column(2), batch.column(3)
+        ends = at.offsets.to_numpy()
+        all_at, all_counts = at.values.to_numpy(), counts.values.to_numpy()
+        for lang, key, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out.append((lang, key, all_at[a:b], tfidf(all_at[a:b], all_counts[a:b], idf).astype(np.float32)))
+    return out
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
     return e / e.sum()
@@ -158,6 +173,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Fits on docs(doc_id, text, lang) that are not held out and have a language."""
+    small_batches(docs.sparkSession)
     learning = docs.select(F.col("text").cast("string").alias("text"), "lang", F.xxhash64("doc_id", "text").alias("key"), held_out().alias("h")).filter("NOT h AND lang IS NOT NULL AND text IS NOT NULL").drop("h")
     sizes = {r["lang"]: r["count"] for r in learning.groupBy("lang").count().collect()}
     if not sizes:
@@ -170,19 +186,16 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     number = {lang: i for i, lang in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, each / sizes[lang]))])
     chosen = learning.filter(F.pmod(F.shiftright("key", 11), F.lit(1 << 52)) < share[F.col("lang")] * (1 << 52)).limit(2 * max_docs)
-    rows = chosen.mapInArrow(_counted, "lang string, key long, at array<int>, counts array<int>").toArrow().to_pylist()
-    there = {r["lang"] for r in rows if r["key"] % 5}
+    rows = _rows(chosen.mapInArrow(_counted, COUNTED).toArrow(), idf)
+    there, lone = {r[0] for r in rows if r[1] % 5}, []
     if lacking := [lang for lang in languages if lang not in there]:
         first = learning.join(F.broadcast(docs.sparkSession.createDataFrame([(lang,) for lang in lacking], "lang string")), "lang").select("text", "lang", "key")
-        first = first.mapInArrow(_counted, "lang string, key long, at array<int>, counts array<int>").groupBy("lang").agg(F.min_by(F.struct("lang", "key", "at", "counts"), "key").alias("r"))
-        lone = first.select("r.*").toArrow().to_pylist()
-        taken = {(r["lang"], r["key"]) for r in lone}
-        rows = [r for r in rows if (r["lang"], r["key"]) not in taken] + lone
-    else:
-        taken = set()
-    rows = [(tfidf(at := np.array(r["at"]), np.array(r["counts"]), idf), at, number[r["lang"]], bool(r["key"] % 5) or (r["lang"], r["key"]) in taken) for r in sorted(rows, key=lambda r: (r["key"], r["lang"]))]
-    fit = [(at, x, y) for x, at, y, fits in rows if fits]
-    rest = [(at, x, y) for x, at, y, fits in rows if not fits]
+        first = first.mapInArrow(_counted, COUNTED).groupBy("lang").agg(F.min_by(F.struct("lang", "key", "at", "counts"), "key").alias("r"))
+        lone = _rows(first.select("r.*").toArrow(), idf)
+    taken = {r[:2] for r in lone}
+    rows = sorted([r for r in rows if r[:2] not in taken] + lone, key=lambda r: (r[1], r[0]))
+    fit = [(at, x, number[lang]) for lang, key, at, x in rows if key % 5 or (lang, key) in taken]
+    rest = [(at, x, number[lang]) for lang, key, at, x in rows if not (key % 5 or (lang, key) in taken)]
     weights = ftrl(fit, len(languages))
     heat = temperature(np.stack([x @ weights[at] for at, x, _ in rest]), np.array([y for _, _, y in rest])) if rest else 1.0
     return Model(languages, idf, weights, heat)
@@ -190,6 +203,7 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Model:
 
 def predictor(spark: SparkSession, model: Model):
     """A column function from text to struct(lang_pred, score)."""
+    small_batches(spark)
     kept = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred string, score double>")
