@@ -88,7 +88,7 @@ def padded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _hidden(tables: np.ndarray, bias: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
     total = np.broadcast_to(bias, (len(place), HIDDEN)).copy()
     for o, t in zip(AROUND, tables, strict=True):
-        total += t[line[place + o]]
+        total += t.take(line.take(place + o), axis=0)
     return np.tanh(total, out=total)
 
 
@@ -142,9 +142,9 @@ class Learner:
         self._step(2, h.T @ p)
         self._step(3, p.sum(0))
         self._step(1, back.sum(0))
-        weights, column = back.ravel(), np.arange(HIDDEN)
+        weights, column = back.astype(np.float64).ravel(), np.arange(HIDDEN)
         for k, o in enumerate(AROUND):
-            cell = line[place + o].astype(np.int64)[:, None] * HIDDEN + column
+            cell = line.take(place + o).astype(np.int64)[:, None] * HIDDEN + column
             g = np.bincount(cell.ravel(), weights=weights, minlength=CLASSES * HIDDEN)
             self._step(0, g.reshape(CLASSES, HIDDEN).astype(np.float32), k)
 
