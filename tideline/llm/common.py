@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import new_folder, stored  # noqa: F401  the operators take these from here
+from ..session import discard, new_folder, stored  # noqa: F401  the operators take these from here
 
 #: Byte classes of the word rule `[^\x20\x09-\x0D]+`.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -23,7 +23,16 @@ _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are large rows, so Arrow batches get 1,000 of them, unless the session has a number other than Spark's own:
+    batches lie both in the executor's and in the Python worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +85,15 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * _power(_P_INV, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
+def words_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """spans_hash of spans that do not overlap and stand in order, made in pieces of `step` spans, so that arrays stay small."""
+    out = np.empty(len(starts), np.uint64)
+    for a in range(0, len(starts), step):
+        s, e = starts[a : a + step], ends[a : a + step]
+        out[a : a + step] = spans_hash(data[s[0] : e[-1]], s - s[0], e - s[0])
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and how many words begin before each text (one more than there are texts)."""
     inside = _IS_WORD[data]

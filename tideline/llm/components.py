@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -21,16 +21,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root (its component's least node) for each node of edges(u, v). Each round's edges are stored; only a
-    count and a checksum of them reach the driver."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (its component's least node) for each node of edges(u, v), stored. Each round's edges are stored and the
+    round's before them deleted; only a count and a checksum of them reach the driver. Rounds go on until nothing changes,
+    which takes logarithmically many of the length of the longest path."""
     edges, before = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
-    for _ in range(rounds):
-        edges = stored(_small(_large(edges)), "stars")
+    while True:
+        last, edges = edges, stored(_small(_large(edges)), "stars")
+        discard(last)
         seen = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if seen == before:
             break
         before = seen
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    found = stored(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+    discard(edges)
+    return found

@@ -2,15 +2,17 @@
 
 A document's tokens are its distinct word shingles. In any global order of tokens, two sets whose Jaccard similarity
 is at least t share a token among the first n - ceil(t n) + 1 of each. Three orders are used: by length of the whole
-shingle, by its longest word (long ones are rare in any corpus), and by hash alone; tokens found in many prefixes,
-up to a fixed number of them, stand last in each. The first order makes candidates; those that do not also share a
-prefix token in the second and third go before any text is read; the rest are verified on whole texts. A pair is
+shingle, by its longest word (long ones are rare in any corpus), and by hash alone; tokens known to be frequent
+stand last in each, the more frequent the later. The first order makes candidates; those that do not also share a
+prefix token in the second and third go before their texts are compared; the rest are verified on whole texts. A pair is
 also dropped at a token if too few tokens of either are left from its place on, which cannot hold for the first
 token that near documents share.
 
-Equal sets are one class from the start. Within the documents of a prefix token, candidates are first pairs with
+Equal sets (by two independent 64-bit hashes) are one class from the start. Of tokens that stand in the same classes one is enough. Within the classes of a prefix token, candidates are first pairs with
 one hub (the one with the fewest tokens of its own), a row for each member, so a large group of near copies never becomes all its pairs. Components of the links
-found are then taken, and only pairs of a common token that are still in different components are made and verified.
+found are then taken, and only classes of a common token that are still in different components are paired. Classes of
+a token that still has more than CROWD of those are paired by their prefix tokens in the second order instead, those of
+crowds there in the third, and where more than CROWD squared share one even there, by two tokens: near classes share tokens in all orders.
 Every link that could join two components is thus tried.
 
 Defined cases: null, empty or white texts have no shingles and no links; fewer words than a shingle make one token;
@@ -24,16 +26,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower, mix, slices, spans_hash, stored, table, utf8, words
+from .common import discard, lower, mix, slices, small_batches, stored, table, utf8, words, words_hash
 from .components import components
 
-#: Tokens in more documents than COMMON, of those that share prefix tokens so common, stand last; twice MOST_COMMON of them
-#: at most (8 bytes each are broadcast). Any set of tokens here gives the same results; a good one gives fewer candidates.
-COMMON, MOST_COMMON = 64, 1 << 18
-BLOOM_BITS = 1 << 23
+#: Tokens that partitions have seen more than COMMON times stand last, MOST_COMMON of them at most (9 bytes each are
+#: broadcast). Any set of tokens here gives the same results; a good one gives fewer candidates.
+COMMON, MOST_COMMON, COUNTED = 1, 1 << 20, 1 << 19
+CROWD = 64
+BLOOM_BITS = (1 << 20, 1 << 27)
+NULL_ID = -(1 << 63)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -42,9 +47,10 @@ def shingles(texts: pa.Array, k: int = 3) -> Iterator[tuple[np.ndarray, np.ndarr
     data, offsets = utf8(texts)
     data = lower(data)
     s, e, first = words(data, offsets)
-    h, size = spans_hash(data, s, e), e - s
+    h, size = words_hash(data, s, e), (e - s).astype(np.int32)
+    del data, s, e
     n = max(len(h) - k + 1, 0)
-    roll, total, longest = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    roll, total, longest = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.int32)
     for i in range(k):
         roll = roll * _B + h[i : i + n] * _A
         total += size[i : i + n]
@@ -60,22 +66,42 @@ def shingles(texts: pa.Array, k: int = 3) -> Iterator[tuple[np.ndarray, np.ndarr
                 whole = whole * _C + x
             yield mix(whole + np.uint64(b - a)), size[a:b].sum(keepdims=True), size[a:b].max(keepdims=True)
         else:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
 
-def set_hash(tokens: np.ndarray) -> np.uint64:
-    return mix(np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64))[0]
+def set_hashes(tokens: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two independent hashes of a set; (0, 0) for the empty one."""
+    if not len(tokens):
+        return np.uint64(0), np.uint64(0)
+    both = np.array([tokens.sum(dtype=np.uint64) + np.uint64(len(tokens)), mix(tokens ^ _C).sum(dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)
+    return tuple(mix(both))
 
 
-def _first(tokens: np.ndarray, lead: np.ndarray | None, order: int, late: np.ndarray, n: int) -> np.ndarray:
-    """The first n tokens in an order: late ones last, then long ones first where a lead is given, then by a hash of the
+class Late:
+    """Frequent tokens, sorted, and the binary order of magnitude of each one's frequency."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.level = tokens[order], np.log2(np.maximum(counts[order], 1)).astype(np.uint8)
+
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of frequent ones among tokens, and their levels."""
+        if not len(self.tokens):
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        own = np.flatnonzero(self.tokens[at] == tokens)
+        return own, self.level[at[own]].astype(np.uint64)
+
+
+def _first(tokens: np.ndarray, lead: np.ndarray | None, order: int, late: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """The first n tokens in an order: late ones last, by level, then long ones first where a lead is given, then by a hash of the
     order. It is a function of the token alone, so it is the same everywhere."""
     rank = mix(tokens ^ np.uint64(0xD6E8FEB86659FD93 * (order + 1) & (1 << 64) - 1)) >> np.uint64(9)
     if lead is not None:
         rank |= (255 - np.minimum(lead, 255)).astype(np.uint64) << np.uint64(55)
-    if len(late):
-        at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
-        rank |= (late[at] == tokens).astype(np.uint64) << np.uint64(63)
+    own, level = late
+    if len(own):
+        rank[own] = (rank[own] >> np.uint64(8)) | level << np.uint64(55) | np.uint64(1 << 63)
     at = np.argpartition(rank, n - 1)[:n] if n < len(tokens) else np.arange(len(tokens))
     return tokens[at[np.argsort(rank[at])]]
 
@@ -84,50 +110,50 @@ def _prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _prefixes(tokens: np.ndarray, size: np.ndarray, longest: np.ndarray, late: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix in each order, in that order."""
-    p = _prefix_size(len(tokens), percent)
-    return [_first(tokens, lead, k, late, p) for k, lead in enumerate((size, longest, None))]
-
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-def _first_prefix(k: int, percent: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                found = [_first(t, s, 0, none, _prefix_size(len(t), percent)) for t, s, _ in shingles(part.column(0), k) if len(t)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
-    return run
+def _frequent(k: int):
+    """Tokens seen more than once in a partition, with their counts: what is seen once is forgotten when COUNTED tokens
+    have gathered, so memory stays bounded and only frequent tokens are sent."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, new, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-def _more_of_common(common, k: int, percent: int):
-    """Of documents with common tokens in their prefix, those that would follow when common ones go last: all tokens if
-    half of the prefix is common, else three prefixes."""
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            each = np.concatenate([known, *new])
+            found, back = np.unique(each, return_inverse=True)
+            n = np.bincount(back[: len(known)], weights=counts, minlength=len(found)) + np.bincount(back[len(known) :], minlength=len(found))
+            keep = n > 1
+            return found[keep], n[keep].astype(np.int64)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, known = np.zeros(0, np.uint64), common.value
         for batch in batches:
             for part in slices(batch, "text"):
-                found = []
-                for tokens, size, _ in shingles(part.column(0), k):
-                    if len(tokens):
-                        p = _prefix_size(len(tokens), percent)
-                        share = np.isin(_first(tokens, size, 0, none, p), known).mean()
-                        if share:
-                            found.append(tokens if share >= 0.5 else _first(tokens, size, 0, none, 3 * p))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
+                for tokens, _, _ in shingles(part.column(0), k):
+                    new.append(tokens)
+                    size += len(tokens)
+                if size > COUNTED:
+                    known, counts = merged()
+                    new, size = [], 0
+        if size:
+            known, counts = merged()
+        for a in range(0, len(known), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(known[a : a + (1 << 16)].view(np.int64)), pa.array(counts[a : a + (1 << 16)])], names=["token", "n"])
 
     return run
 
 
-def _most_common(tokens: DataFrame) -> np.ndarray:
-    """Of tokens in more than COMMON rows the MOST_COMMON most frequent, sorted."""
-    seen = tokens.groupBy("token").count().filter(F.col("count") > COMMON)
-    found = seen.orderBy(F.desc("count"), "token").limit(MOST_COMMON).select("token").toArrow().column(0).to_numpy()
-    return np.sort(found.view(np.uint64))
+def late_tokens(texts: DataFrame, k: int) -> Late:
+    """Of tokens of texts(text) seen more than COMMON times the most frequent, MOST_COMMON or, as steps of frequency are taken whole, fewer."""
+    seen = texts.mapInArrow(_frequent(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > COMMON)
+    seen = stored(seen.withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "frequent-tokens")
+    fit, steps = 0, sorted(seen.groupBy("step").count().collect(), reverse=True)
+    while fit < len(steps) and sum(r["count"] for r in steps[: fit + 1]) <= MOST_COMMON:
+        fit += 1
+    found = seen.filter(F.col("step") >= (steps[fit - 1]["step"] if fit else 1 << 20)).select("token", "n").toArrow()
+    discard(seen)
+    return Late(found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy())
 
 
 def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -135,55 +161,66 @@ def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], kind))
 
 
+def _hashes(found: list[tuple[np.uint64, np.uint64]]) -> list[pa.Array]:
+    both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)]
+
+
 def _sets(late, k: int, percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = late.value
+        common, row = late.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
-                n, h, orders = [], [], ([], [], [])
-                for tokens, size, longest in shingles(part.column(1), k):
+                n, h, prefix = [], [], []
+                for tokens, size, _ in shingles(part.column(2), k):
                     n.append(len(tokens))
-                    h.append(set_hash(tokens) if len(tokens) else 0)
-                    three = _prefixes(tokens, size, longest, common, percent) if len(tokens) else [tokens] * 3
-                    orders[0].append(three[0].view(np.int64))
-                    for at, x in zip(orders[1:], three[1:], strict=True):
-                        at.append((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(np.array(h, np.uint64).view(np.int64)), _lists(orders[0], pa.int64()), _lists(orders[1], pa.int32()), _lists(orders[2], pa.int32())],
-                    names=["doc_id", "n", "h", "p1", "p2", "p3"],
-                )
+                    h.append(set_hashes(tokens))
+                    prefix.append(_first(tokens, size, 0, common(tokens), _prefix_size(len(tokens), percent)).view(np.int64) if len(tokens) else tokens.view(np.int64))
+                rows = pa.array(np.arange(row, row + len(n)))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), part.column(1), pa.array(n, pa.int64()), *_hashes(h), _lists(prefix, pa.int64())], names=["row", "doc_id", "t", "n", "h", "g", "p1"])
 
     return run
 
 
-def _bits(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    x = mix(h.view(np.uint64) ^ mix(doc.view(np.uint64)))
-    return np.stack([x & np.uint64(BLOOM_BITS - 1), (x >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)])
+def _bits(doc: np.ndarray, bits: int) -> np.ndarray:
+    x = mix(doc.view(np.uint64) ^ _A)
+    return np.stack([x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)])
+
 
+def _bloom(bits: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits).ravel()
+            np.bitwise_or.at(filled, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        at = np.flatnonzero(filled)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(filled[at].view(np.int64))], names=["place", "bits"])
 
-def _bloom(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-    for batch in batches:
-        at = _bits(*(batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))).ravel()
-        np.bitwise_or.at(bits, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
-    at = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], names=["place", "bits"])
+    return run
 
 
-def _texts(bloom, k: int):
-    """Of rows that the filter does not rule out: the class and the compressed text."""
+def _signed(bloom, late, k: int, percent: int, with_text: bool):
+    """Of rows whose doc_id the filter does not rule out: the set's hashes, its prefixes in the second and third order, and
+    the compressed text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, press = bloom.value, zstandard.ZstdCompressor(level=1)
+        filled, common, press = bloom.value, late.value, zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for part in slices(batch, "text"):
-                h = np.array([set_hash(t) if len(t) else 0 for t, _, _ in shingles(part.column(1), k)], np.uint64)
-                doc = part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-                at = _bits(h.view(np.int64), doc)
-                keep = ((bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
-                rows = np.flatnonzero(keep)
-                z = [press.compress(part.column(1)[int(i)].as_py().encode()) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(h[rows].view(np.int64)), pa.array(z, pa.binary())], names=["h", "z"])
+            doc = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+            at = _bits(doc, len(filled) * 64)
+            chosen = ((filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+            for part in slices(batch.filter(pa.array(chosen)), "text"):
+                h, orders, z = [], ([], []), []
+                for text, (tokens, _, longest) in zip(part.column(1), shingles(part.column(1), k), strict=True):
+                    if len(tokens):
+                        h.append(set_hashes(tokens))
+                        last, p = common(tokens), _prefix_size(len(tokens), percent)
+                        for i, lead in enumerate((longest, None)):
+                            orders[i].append(_short(_first(tokens, lead, i + 1, last, p)))
+                        z.append(press.compress(text.as_py().encode()) if with_text else b"")
+                if h:
+                    yield pa.RecordBatch.from_arrays([*_hashes(h), _lists(orders[0], pa.int32()), _lists(orders[1], pa.int32()), pa.array(z, pa.binary())], names=["h", "g", "p2", "p3", "z"])
 
     return run
 
@@ -212,79 +249,152 @@ def _verified(k: int, percent: int):
 
 
 class _Join:
+    """rows: row, doc_id, t, n, h and g of every row with tokens; classes: one row for each different set, named by its least row."""
+
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
+        small_batches(self.spark)
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        texts, share = self.docs.select("text"), self.spark.sparkContext.broadcast
-        late = _most_common(texts.mapInArrow(_first_prefix(k, percent), "token long"))
-        if len(late):
-            late = np.union1d(late, _most_common(texts.mapInArrow(_more_of_common(share(late), k, percent), "token long")))
-        late = share(late)
-        self.rows = stored(self.docs.mapInArrow(_sets(late, k, percent), "doc_id long, n long, h long, p1 array<long>, p2 array<int>, p3 array<int>"), "shingle-sets")
-        first = [F.first(c).alias(c) for c in ("n", "p1", "p2", "p3")]
-        self.classes = stored(self.rows.filter("n > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), *first), "shingle-classes")
-        lists = self.classes.select("h", "n", F.posexplode("p1").alias("at", "token"))
-        # the hub has the token earliest, so it has the fewest tokens of its own
-        place = F.struct((F.col("at") / F.col("n")).alias("share"), "h", "n", "at")
-        shared = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(place).alias("hub")).filter("c > 1").select("token", "hub")
-        self.lists = stored(lists.join(shared, "token").select("token", "h", "n", "at", "hub"), "shingle-lists")
+        self.late = self.spark.sparkContext.broadcast(late_tokens(self.docs.select("text"), k))
+        marked = self.docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+        self.rows = stored(marked.mapInArrow(_sets(self.late, k, percent), "row long, doc_id long, t long, n long, h long, g long, p1 array<long>"), "shingle-sets")
+        self.classes = stored(self.rows.filter("n > 0").groupBy("h", "g").agg(F.min("row").alias("c"), F.min("doc_id").alias("rep"), F.first("n").alias("n")), "shingle-classes")
+        one = self.rows.select("row", "n", "p1").join(self.classes.select(F.col("c").alias("row")), "row", "left_semi")
+        lists = one.select(F.col("row").alias("c"), F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("at", "token"))
+        shared = lists.groupBy("token").count().filter("count > 1").select("token")
+        # here and below, what grows with the input is merged at every size
+        every = stored(lists.join(shared.hint("merge"), "token", "left_semi").select("token", "c", "n", "at"), "shared-tokens")
+        members = every.groupBy("token").agg(*self._members())
+        self.lists = stored(every.join(self._first_of_same(members, ["token"]), "token", "left_semi"), "shingle-lists")
+        discard(every)
+
+    @staticmethod
+    def _members() -> list[Column]:
+        """Columns that tell which classes stand at a token, and where the least of them has it."""
+        return [F.count("*").alias("size"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"), F.min_by("at", "c").alias("lead")]
+
+    @staticmethod
+    def _first_of_same(members: DataFrame, keys: list[str]) -> DataFrame:
+        """Of keys at which the same classes stand one: they make the same pairs, and the first in the order is first in each class."""
+        return members.groupBy("size", "x", "y").agg(F.min(F.struct("lead", *keys)).alias("first")).select(*[f"first.{k}" for k in keys], "size")
 
     def _may(self, a: str, b: str) -> Column:
-        """Whether two documents whose first common token is this one can be near: by their sizes, and by how many
+        """Whether two classes whose first common token is this one can be near: by their sizes, and by how many
         tokens of each are left from its place on."""
-        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+        na, nb = F.col(f"{a}n").cast("long"), F.col(f"{b}n").cast("long")
         left = F.least(na - F.col(f"{a}at"), nb - F.col(f"{b}at"))
         return (F.least(na, nb) * 100 >= F.greatest(na, nb) * self.percent) & (left * (100 + self.percent) >= (na + nb) * self.percent)
 
+    def signed(self, used: DataFrame, name: str, with_text: bool) -> DataFrame:
+        """c, p2, p3 and z of used(c) classes, read from texts that a filter of their doc_ids lets through."""
+        own = stored(self.classes.join(used, "c", "left_semi").select("c", "h", "g", F.coalesce("rep", F.lit(NULL_ID)).alias("rep")), f"{name}-used")
+        bits = min(max(BLOOM_BITS[0], 1 << (own.count() * 16).bit_length()), BLOOM_BITS[1])
+        filled = np.zeros(bits // 64, np.uint64)
+        for batch in own.select("rep").mapInArrow(_bloom(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+            filled[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+        share = self.spark.sparkContext.broadcast(filled)
+        texts = self.docs.filter("text IS NOT NULL").mapInArrow(_signed(share, self.late, self.k, self.percent, with_text), "h long, g long, p2 array<int>, p3 array<int>, z binary")
+        one = texts.dropDuplicates(["h", "g"]).join(own.select("c", "h", "g").hint("merge"), ["h", "g"]).drop("h", "g")
+        out = stored(one, f"{name}-signed")
+        discard(own)
+        return out
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs(a, b) of classes, those that all orders allow and their texts confirm."""
-        sign = self.classes.select("h", "p2", "p3", "rep")
-        one = pairs.join(sign.select(F.col("h").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3"), F.col("rep").alias("rep_b")), "b")
-        two = one.join(sign.select(F.col("h").alias("a"), "p2", "p3", F.col("rep").alias("rep_a")), "a")
-        left = stored(two.filter(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("a", "b", "rep_a", "rep_b"), f"{name}-candidates")
-        used = left.select(F.col("a").alias("h"), F.col("rep_a").alias("rep")).unionByName(left.select(F.col("b").alias("h"), F.col("rep_b").alias("rep"))).distinct().fillna(-(1 << 63), ["rep"])
-        bits = np.zeros(BLOOM_BITS // 64, np.uint64)
-        for r in used.mapInArrow(_bloom, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toPandas().itertuples(index=False):
-            bits[r[0]] = np.array([r[1]], np.int64).view(np.uint64)[0]
-        texts = self.docs.filter("text IS NOT NULL").mapInArrow(_texts(self.spark.sparkContext.broadcast(bits), self.k), "h long, z binary")
-        texts = stored(texts.join(used.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), f"{name}-texts")
-        other = left.select("a", "b").join(texts.select(F.col("h").alias("b"), F.col("z").alias("zb")), "b")
-        full = other.join(texts.select(F.col("h").alias("a"), F.col("z").alias("za")), "a").select("a", "b", "za", "zb")
-        return full.mapInArrow(_verified(self.k, self.percent), "u long, v long")
+        pairs = stored(pairs, f"{name}-pairs")
+        sign = self.signed(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), name, True)
+        one = pairs.join(sign.select(F.col("c").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3")), "b")
+        two = one.join(sign.select(F.col("c").alias("a"), "p2", "p3").hint("merge"), "a")
+        left = stored(two.filter(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("a", "b"), f"{name}-candidates")
+        hubs = sign.select(F.col("c").alias("a"), F.col("z").alias("za")).join(left.select("a").distinct(), "a", "left_semi")
+        other = left.join(sign.select(F.col("c").alias("b"), F.col("z").alias("zb")), "b")
+        full = other.join(hubs.hint("merge"), "a").select("a", "b", "za", "zb")
+        out = stored(full.mapInArrow(_verified(self.k, self.percent), "u long, v long"), f"{name}-links")
+        discard(pairs, sign, left)
+        return out
+
+    def _pairs(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Pairs of classes in different components that share the keys."""
+        a, b = rows.alias("a"), rows.alias("b")
+        apart = (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & self._may("a.", "b.")
+        for k in keys:
+            apart = apart & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+        return a.join(b, apart).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
+
+    def _crowds(self, rows: DataFrame, keys: list[str], most: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows whose keys have several components: those of keys with `most` classes or less, and those with more."""
+        each = rows.groupBy(*keys).agg(*self._members(), F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest")
+        first = self._first_of_same(each, keys).select(*keys, (F.col("size") > most).alias("crowd"))
+        placed = stored(rows.join(first, keys), name)
+        return placed.filter("NOT crowd").drop("crowd"), placed.filter("crowd").drop("crowd")
+
+    def rest(self, roots: DataFrame) -> DataFrame:
+        """Pairs of classes of a common token that are in different components."""
+        placed = self.lists.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        few, many = self._crowds(placed, ["token"], CROWD, "rest-lists")
+        pairs, sign = self._pairs(few, ["token"]), None
+        for order, most in (("p2", CROWD), ("p3", CROWD**2)):
+            if not many.limit(1).count():
+                return pairs.distinct()
+            crowd = many.select("c", "n", "root").distinct()
+            sign = sign or self.signed(crowd.select("c"), "crowd", False)
+            few, many = self._crowds(crowd.join(sign.select("c", F.posexplode(order).alias("at", "token")), "c"), ["token"], most, f"rest-{order}")
+            pairs = pairs.unionByName(self._pairs(few, ["token"]))
+        both = many.join(sign.select("c", F.explode("p2").alias("two")), "c")
+        return pairs.unionByName(self._pairs(both, ["token", "two"])).distinct()
 
     def run(self) -> DataFrame:
-        star = self.lists.filter(F.col("hub.h") != F.col("h")).filter(self._may("hub.", "")).select(F.col("hub.h").alias("a"), F.col("h").alias("b")).distinct()
-        edges = stored(self.links(star, "star"), "links")
-        roots = stored(components(edges), "roots")
-        # tokens whose documents are still in several components
-        placed = self.lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("token", "h", "n", "at", F.coalesce("root", "h").alias("root"))
-        several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-        placed = stored(placed.join(several, "token", "left_semi"), "rest-lists")
-        a, b = placed.alias("a"), placed.alias("b")
-        apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.h") < F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & self._may("a.", "b.")
-        rest = a.join(b, apart).select(F.col("a.h").alias("a"), F.col("b.h").alias("b")).distinct()
-        more = self.links(rest, "rest")
-        roots = components(edges.unionByName(more))
-        named = self.classes.select("h", "rep").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        return stored(named.join(least, "root").select("h", "component_id"), "class-components")
+        """c and root of each class that has links."""
+        place = F.struct((F.col("at") / F.col("n")).alias("share"), "c", "n", "at")  # the hub has the token earliest, so it has the fewest tokens of its own
+        hubs = self.lists.groupBy("token").agg(F.min(place).alias("hub"))
+        star = self.lists.join(hubs, "token").filter(F.col("hub.c") != F.col("c")).filter(self._may("hub.", "")).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
+        edges = self.links(star, "star")
+        roots = components(edges)
+        more = self.links(self.rest(roots), "rest")
+        discard(self.lists)
+        if more.limit(1).count():
+            discard(roots)
+            roots = components(edges.unionByName(more))
+        discard(edges, more)
+        return roots
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, t (the text's hash), n, c (null without tokens) and component_id of each row."""
+    work = _Join(docs, k, percent)
+    roots = work.run()
+    named = work.classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = stored(named.join(least, "root").select("h", "g", "root", "component_id"), "class-components")
+    rows = stored(work.rows.select("doc_id", "t", "n", "h", "g"), "shingle-rows")
+    discard(work.rows, work.classes, roots)
+    return rows.join(named, ["h", "g"], "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("root")).alias("c"), F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text)."""
-    work = _Join(docs, k, percent)
-    named = work.run()
-    out = work.rows.join(named, "h", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    return _joined(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows of docs without those of a component's other documents; of equal rows one
-    stays. Texts without words are no one's copies and all stay, and so do rows without a doc_id."""
-    found = join(docs, k, percent).filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c")).filter("doc_id <> c").select(F.col("doc_id").alias("__copy"))
-    left = docs.join(found, docs["doc_id"] == F.col("__copy"), "left_anti")
-    repeats = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return left.dropDuplicates() if repeats else left
+    """One row of docs for each component: the one with the least doc_id (none last), and of those with the least hash of
+    the text. Documents are told by doc_id and text, so another text under the same doc_id is judged by itself. Rows with
+    equal doc_id and text are one document, of which the row with the least hash of all its columns stays. Texts without
+    words are no one's copies and all stay."""
+    found = stored(_joined(docs, k, percent).filter("n > 0").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows")), "component-members")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    best = found.groupBy("c").agg(F.min(place).alias("best"))
+    judged = found.join(best, "c").select("doc_id", "t", "rows", (place == F.col("best")).alias("stays"))
+    marks = stored(judged.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "stays"), "copies")
+    discard(found)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    left = docs.join(marks.drop("stays"), same, "left_anti")
+    if not marks.filter("stays").limit(1).count():
+        return left
+    names = docs.columns
+    again = docs.join(marks.filter("stays"), same).select("__doc", "__t", F.struct(*[docs[c] for c in names]).alias("__row"))
+    once = again.groupBy("__doc", "__t").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+    return left.unionByName(once.select("__row.*"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

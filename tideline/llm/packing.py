@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import slices, small_batches, stored, table
 from .tokens import default_path, encoder
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, lot long"
@@ -126,6 +126,7 @@ def _placed(runs: np.ndarray, fields: list[str]):
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, lot_rows: int = 50_000) -> DataFrame:
     """Pieces of docs(doc_id, text) with sequence_id and offset."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = stored(docs.mapInArrow(_pieces(tokenizer_path, end_id, capacity), PIECE), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
