@@ -2,7 +2,7 @@ import pytest
 from model import fold as model_fold
 from model import ops_frame, random_ops
 
-from tideline.errors import InvalidRequest
+from tideline.errors import InvalidRequest, TooManySubscribers
 from tideline.operators import cdc, fold, reads
 from tideline.sources.fixtures import as_log
 
@@ -87,3 +87,11 @@ def test_bad_requests(spark):
 def test_empty_log(spark):
     judged = fold.judged(ops_frame(spark, []))
     assert fold.state(fold.versions(judged)).count() == 0 and fold.outcomes(judged).count() == 0
+
+
+def test_too_many_subscribers_are_refused(spark):
+    effects = cdc.effects(fold.judged(ops_frame(spark, random_ops(20, 1))))
+    some = spark.range(256).selectExpr("id AS sub_id", "CAST(NULL AS INT) AS ns_filter", "0L AS cursor")
+    assert cdc.deliveries(effects, some).select("sub_id").distinct().count() == 256
+    with pytest.raises(TooManySubscribers):
+        cdc.deliveries(effects, some.union(some.limit(1)))

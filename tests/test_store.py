@@ -40,3 +40,21 @@ def test_log_round_trip(spark, tmp_path):
     back = store.read_log(spark, str(tmp_path / "log"))
     assert sorted(map(str, back.collect())) == sorted(map(str, log.collect()))
     assert rows_of(fold.fold(back)) == rows_of(fold.fold(log))
+
+
+def test_expiry_keeps_the_newest(spark, tmp_path):
+    v = fold.versions(fold.judged(ops_frame(spark, random_ops(60, 7, cas=False)), conditional=False))
+    for seq in (10, 20, 30):
+        store.snapshot(v, str(tmp_path / "s"), seq)
+    assert store.expire(spark, str(tmp_path / "s"), 2) == [10] and store.snapshots(spark, str(tmp_path / "s")) == [20, 30]
+    assert store.expire(spark, str(tmp_path / "s"), 0) == [20] and store.expire(spark, str(tmp_path / "none"), 1) == []
+    assert store.snapshot_due(10, 20, 10) and not store.snapshot_due(10, 19, 10) and not store.snapshot_due(0, 99, 0)
+
+
+def test_recovery_folds_the_tail_upon_the_snapshot(spark, tmp_path):
+    log = as_log(ops_frame(spark, random_ops(300, 8, cas=True)))
+    whole, root = fold.versions(fold.judged(fold.operations(log))), str(tmp_path / "s")
+    assert rows_of(fold.state(store.recover_from_log(spark, root, log))) == rows_of(fold.state(whole))
+    store.snapshot(whole, root, 140)
+    tail = log.filter("seq > 140")
+    assert rows_of(fold.state(store.recover_from_log(spark, root, tail))) == rows_of(fold.state(whole))

@@ -15,3 +15,7 @@ class BadPayload(LogError):
 
 class SequenceGap(LogError):
     """A log whose seqs are not dense where they have to be."""
+
+
+class TooManySubscribers(LogError):
+    """More subscriptions than a change feed holds."""

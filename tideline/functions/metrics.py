@@ -19,6 +19,14 @@ def gauge(value: Column, seq: Column) -> Column:
     return F.max_by(value, seq)
 
 
+def fold_metrics(outcomes: DataFrame, head: int) -> DataFrame:
+    """What a fold has done, in one row: transactions applied and aborted, no-ops, rows written, the seq it has reached, and
+    how far that is behind the log's head."""
+    n = {k: F.count(F.when(F.col("status") == s, 1)).alias(k) for k, s in (("applied", "ok"), ("aborted", "abort"), ("noops", "noop"))}
+    reached = F.coalesce(F.max("seq"), F.lit(0)).cast("long")
+    return outcomes.agg(*n.values(), counter(F.col("rows_affected")).alias("rows_affected"), reached.alias("current_seq"), (F.lit(head) - reached).cast("long").alias("lag"))
+
+
 def bucket_of(ns: Column) -> Column:
     """Index of the bucket whose upper bound is the first at or above ns."""
     out = F.lit(len(BOUNDS))

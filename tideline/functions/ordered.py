@@ -21,8 +21,7 @@ def carry(df: DataFrame, keys: list[str], order: str, ties: list[str], value: Co
     cut = _blocks(df.withColumn("__value", value), order, block)
     within = Window.partitionBy(*keys, "__block").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     place = F.struct(order, *ties)
-    lasts = cut.filter("__value IS NOT NULL").groupBy(*keys, "__block").agg(F.max_by("__value", place).alias("__last"))
-    heads = cut.groupBy(*keys, "__block").agg(F.lit(1).alias("__one")).join(lasts, [*keys, "__block"], "left")
+    heads = cut.groupBy(*keys, "__block").agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), place)).alias("__last"))
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = heads.select(*keys, "__block", F.last("__last", True).over(earlier).alias("__before"))
     local = cut.withColumn("__local", F.last("__value", True).over(within))

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import TooManySubscribers
 from ..functions.ordered import BLOCK, carry
 from .fold import KEY
 
+#: Fixed value: as many can subscribe, so they are always few enough to be broadcast.
+MOST_SUBSCRIBERS = 256
+
 
 def effects(judged_ops: DataFrame, block: int = BLOCK) -> DataFrame:
     """EFFECTS of applied operations. The before image is the live value just before; a delete of an absent key has
@@ -33,13 +37,26 @@ def events(effects_: DataFrame) -> DataFrame:
 
 
 def deliveries(effects_: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """sub_id and seq of each event that subscribers(sub_id, ns_filter, cursor) have yet to see, with its effects' number."""
+    """sub_id and seq of each event that subscribers(sub_id, ns_filter, cursor) have yet to see, with its effects' number.
+    More than MOST_SUBSCRIBERS are refused."""
+    if subscribers.limit(MOST_SUBSCRIBERS + 1).count() > MOST_SUBSCRIBERS:
+        raise TooManySubscribers(f"more than {MOST_SUBSCRIBERS}")
     by_txn = effects_.groupBy("seq", "ns").agg(F.count("*").alias("n"))
-    s = F.broadcast(subscribers.limit(256))  # as many as can subscribe
+    s = F.broadcast(subscribers)
     hit = by_txn.join(s, (F.col("ns_filter").isNull() | (F.col("ns") == F.col("ns_filter"))) & (F.col("seq") > F.col("cursor")))
     return hit.groupBy("sub_id", "seq").agg(F.sum("n").alias("effects"))
 
 
+def unsubscribe(subscribers: DataFrame, sub_id: int) -> DataFrame:
+    """Subscribers without one; an unknown id changes nothing."""
+    return subscribers.filter(F.col("sub_id") != sub_id)
+
+
+def next_events(effects_: DataFrame, subscriber: DataFrame, most: int) -> DataFrame:
+    """The first `most` events, by seq, that one subscriber(sub_id, ns_filter, cursor) has yet to see, with their effects' number."""
+    return deliveries(effects_, subscriber).orderBy("seq").limit(most)
+
+
 def acknowledge(subscribers: DataFrame, sub_id: int, seq: int) -> DataFrame:
     """Subscribers after one has acknowledged up to seq; cursors never go back."""
     return subscribers.withColumn("cursor", F.when(F.col("sub_id") == sub_id, F.greatest("cursor", F.lit(seq))).otherwise(F.col("cursor")))

@@ -72,14 +72,19 @@ def conditional_verdicts(ops: DataFrame, block: int = BLOCK) -> DataFrame:
     return asked.select("seq", *KEY).join(won, [*KEY, "seq"], "left").select("seq", *KEY, F.coalesce("ok", F.lit(False)).alias("ok"))
 
 
-def judged(ops: DataFrame, conditional: bool = True) -> DataFrame:
+def judged(ops: DataFrame, conditional: bool = True, initial: DataFrame | None = None) -> DataFrame:
     """Coalesced ops with ok: whether their transaction is applied. Pass conditional=False for a log without
-    conditional sets, which needs no verdicts."""
+    conditional sets, which needs no verdicts. initial is the state(ns, key, value, seq) that the first of ops meets: with it
+    the tail of a log is judged without the log before."""
     one = coalesce_ops(ops)
     if not conditional:
         return one.withColumn("ok", F.lit(True))
     one = stored(one, "operations")
-    failed = conditional_verdicts(one).filter("NOT ok").select("seq").distinct().withColumn("failed", F.lit(True))
+    met = one
+    if initial is not None:
+        given = initial.join(one.select(*KEY).distinct(), KEY, "left_semi").select("seq", F.lit(0).alias("op_idx"), *KEY, F.lit("set").alias("op"), "value", F.lit(0).cast("long").alias("expected_seq"))
+        met = one.unionByName(given)
+    failed = conditional_verdicts(met).filter("NOT ok").select("seq").distinct().withColumn("failed", F.lit(True))
     return one.join(failed, "seq", "left").withColumn("ok", F.col("failed").isNull()).drop("failed")
 
 

@@ -21,6 +21,11 @@ def valid_prefix(log: DataFrame, ok: str = "ok") -> DataFrame:
     return log.join(F.broadcast(first_bad), F.col("bad").isNull() | (F.col("seq") < F.col("bad"))).drop("bad")
 
 
+def verified(log: DataFrame, stored_checksum: str, *columns: str) -> DataFrame:
+    """log with `ok`: whether the checksum of the columns is the stored one."""
+    return log.withColumn("ok", F.coalesce(checksum(*map(F.col, columns)) == F.col(stored_checksum), F.lit(False)))
+
+
 def segment_of(seq: Column, size: int = SEGMENT) -> Column:
     return F.floor((seq - 1) / size)
 

@@ -73,16 +73,20 @@ def _by_borders(live: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def read_batch(versions: DataFrame, gets: DataFrame, ranges: DataFrame) -> DataFrame:
-    """A read-only batch: gets and ranges in request order, with the place of each row in its request."""
-    one = multi_get(versions, gets).filter("found").select("req_idx", F.lit("get").alias("kind"), *KEY, "value", F.col("committed_seq").alias("seq"), F.lit(1).alias("place"))
-    many = range_batch(versions, ranges).select("req_idx", F.lit("range").alias("kind"), *KEY, "value", "seq", "place")
-    return one.unionByName(many)
+    """A read-only batch with a result for each request: a get gives one row, found or not, as of its at_seq where gets have
+    that column; a range its rows in key order, or, if it has none, one row with found false and place 0. `seq` is 0 where nothing was found."""
+    one = multi_get_as_of(versions, gets) if "at_seq" in gets.columns else multi_get(versions, gets)
+    one = one.select("req_idx", F.lit("get").alias("kind"), *KEY, "found", "value", F.col("committed_seq").alias("seq"), F.lit(1).alias("place"))
+    many = range_batch(versions, ranges)
+    every = ranges.select("req_idx", F.col("ns").alias("r_ns")).join(many, "req_idx", "left")
+    rows = every.select("req_idx", F.lit("range").alias("kind"), F.col("r_ns").alias("ns"), "key", F.col("key").isNotNull().alias("found"), "value", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce("place", F.lit(0)).alias("place"))
+    return one.unionByName(rows)
 
 
 def scatter_scan(versions: DataFrame, partitions: int, at_seq: int | None = None) -> DataFrame:
-    """State read from hash partitions of the keys and put in key order again."""
-    dealt = versions.withColumn("data_partition", hash_partition(F.col("key"), partitions)).repartition(partitions, "data_partition", *KEY)
-    return state(dealt.drop("data_partition"), at_seq).orderBy(*KEY)
+    """State dealt over hash partitions of the keys and put in key order again; only newest versions are dealt."""
+    live = state(versions, at_seq).withColumn("data_partition", hash_partition(F.col("key"), partitions))
+    return live.repartition(partitions, "data_partition").drop("data_partition").orderBy(*KEY)
 
 
 def history(versions: DataFrame, block: int = BLOCK) -> DataFrame:

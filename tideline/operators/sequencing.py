@@ -56,6 +56,16 @@ def head(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("head"), F.coalesce(F.max_by("epoch", "seq"), F.lit(0)).alias("epoch"))
 
 
+def term_at(log: DataFrame, seq: int) -> DataFrame:
+    """The epoch of the entry at seq; 0 where there is none."""
+    return log.filter(F.col("seq") == seq).agg(F.coalesce(F.max("epoch"), F.lit(0)).cast("long").alias("term"))
+
+
+def committed(log: DataFrame, watermark: int) -> DataFrame:
+    """Whether the log has reached the watermark, in one row."""
+    return log.agg(F.coalesce(F.max("seq") >= watermark, F.lit(watermark <= 0)).alias("committed"))
+
+
 def describe(log: DataFrame, seq: int) -> DataFrame:
     """One entry's identity and the number of its operations of each kind."""
     sets, deletes = (F.expr(f"size(filter(ops, o -> o.op = '{k}'))").alias(f"{k}s") for k in ("set", "delete"))

@@ -148,7 +148,10 @@ def range_batch(spark, sf_dir):
 
 @_query(
     "read_batch",
-    f"SELECT req_idx, 'get' AS kind, s.ns, s.k, s.v, s.seq, 1 AS place FROM get_requests r JOIN {_live()} s USING (ns, k) UNION ALL SELECT req_idx, 'range', ns, k, v, seq, place FROM ({_RANGES})",
+    f""", hit AS (SELECT r.req_idx, e.op, e.v, e.seq, row_number() OVER (PARTITION BY r.req_idx ORDER BY e.seq DESC) AS rn FROM get_requests r JOIN events e ON e.ns = r.ns AND e.k = r.k AND e.seq <= r.at_seq),
+top AS (SELECT * FROM hit WHERE rn = 1 AND op = 'set')
+SELECT r.req_idx, 'get' AS kind, r.ns, r.k, t.seq IS NOT NULL AS found, t.v, coalesce(t.seq, 0)::BIGINT AS seq, 1 AS place FROM get_requests r LEFT JOIN top t USING (req_idx)
+UNION ALL SELECT r.req_idx, 'range', r.ns, x.k, x.k IS NOT NULL, x.v, coalesce(x.seq, 0)::BIGINT, coalesce(x.place, 0) FROM range_requests r LEFT JOIN ({_RANGES}) x USING (req_idx)""",
     "events",
     "get_requests",
     "range_requests",
@@ -237,6 +240,16 @@ def txn_noop_abort(spark, sf_dir):
     return fold.outcomes(fold.judged(fold.operations(log.filter("payload_ok")), conditional=False), log)
 
 
+@_query(
+    "fold_metrics",
+    "SELECT count(*) FILTER (event_id % 10 > 1) AS applied, count(*) FILTER (event_id % 10 = 1) AS aborted, count(*) FILTER (event_id % 10 = 0) AS noops, count(*) FILTER (event_id % 10 > 1)::BIGINT AS rows_affected, coalesce(max(event_id + 1), 0)::BIGINT AS current_seq, 90::BIGINT AS lag FROM events",
+)
+def fold_metrics(spark, sf_dir):
+    done = txn_noop_abort(spark, sf_dir)
+    head = done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 90
+    return metrics.fold_metrics(done, head)
+
+
 @_query("cdc_effects", f"{_CAS} SELECT seq, 1 AS ns, k, CASE WHEN op = 'delete' THEN 'delete' ELSE 'update' END AS op, before, CASE WHEN op = 'set' THEN v END AS after FROM run WHERE ok", "events_cas")
 def cdc_effects(spark, sf_dir):
     e = _text(cdc.effects(_cas(spark, sf_dir)))
@@ -280,6 +293,16 @@ def cdc_deliveries(spark, sf_dir):
     return cdc.deliveries(_two(spark, sf_dir), fixture(spark, sf_dir, "subscribers"))
 
 
+@_query("cdc_next", f"SELECT 2 AS sub_id, seq, count(*)::BIGINT AS effects FROM {_TWO} WHERE ns = 1 AND seq > 500 GROUP BY seq ORDER BY seq LIMIT 20", "two_ns")
+def cdc_next(spark, sf_dir):
+    return cdc.next_events(_two(spark, sf_dir), fixture(spark, sf_dir, "subscribers").filter("sub_id = 2"), 20)
+
+
+@_query("cdc_unsubscribe", "SELECT sub_id, cursor FROM subscribers WHERE sub_id <> 2", "subscribers")
+def cdc_unsubscribe(spark, sf_dir):
+    return cdc.unsubscribe(fixture(spark, sf_dir, "subscribers"), 2).select("sub_id", "cursor")
+
+
 @_query("cdc_min_cursor", "SELECT coalesce(min(CASE WHEN sub_id = 1 THEN greatest(cursor, 700) ELSE cursor END), 0)::BIGINT AS min_cursor FROM subscribers", "subscribers")
 def cdc_min_cursor(spark, sf_dir):
     return cdc.min_cursor(cdc.acknowledge(fixture(spark, sf_dir, "subscribers"), 1, 700))
@@ -325,6 +348,16 @@ def log_head(spark, sf_dir):
     return sequencing.head(as_log(fixture(spark, sf_dir, "events")))
 
 
+@_query("log_term_at", "SELECT 0::BIGINT AS term FROM (SELECT count(*) FROM events)", "events")
+def log_term_at(spark, sf_dir):
+    return sequencing.term_at(as_log(fixture(spark, sf_dir, "events")), 33)
+
+
+@_query("log_committed", "SELECT max(seq) >= 500 AS committed FROM events", "events")
+def log_committed(spark, sf_dir):
+    return sequencing.committed(fixture(spark, sf_dir, "events"), 500)
+
+
 @_query("log_describe_seq", "SELECT seq, 0::BIGINT AS epoch, 'txn_intent' AS kind, 1::BIGINT AS client_id, seq AS client_seq, count(*) FILTER (op = 'set')::INT AS sets, count(*) FILTER (op = 'delete')::INT AS deletes FROM lineitem WHERE seq = 33 GROUP BY seq", "lineitem")
 def log_describe_seq(spark, sf_dir):
     return sequencing.describe(as_log(fixture(spark, sf_dir, "lineitem").filter("seq = 33")), 33)
@@ -340,6 +373,14 @@ def log_integrity_prefix(spark, sf_dir):
     return _text(maintenance.valid_prefix(fixture(spark, sf_dir, "log_health")).select("seq", "key"))
 
 
+@_query("log_integrity_checksum", "SELECT seq, k FROM log_health WHERE seq < coalesce((SELECT min(seq) FROM log_health WHERE NOT ok), 9223372036854775807)", "log_health")
+def log_integrity_checksum(spark, sf_dir):
+    """Entries whose keys were damaged after their checksum was taken end the valid prefix."""
+    log = fixture(spark, sf_dir, "log_health").withColumn("crc", maintenance.checksum(F.col("key")))
+    damaged = log.withColumn("key", F.when(F.col("ok"), F.col("key")).otherwise(F.concat(F.col("key"), F.lit("!").cast("binary")))).drop("ok")
+    return _text(maintenance.valid_prefix(maintenance.verified(damaged, "crc", "key")).select("seq", "key"))
+
+
 @_query("log_truncate_prefix", ", g AS (SELECT *, floor((seq - 1) / 100) AS s FROM log_health) SELECT seq, k FROM g WHERE s NOT IN (SELECT s FROM g GROUP BY s HAVING max(seq) < 650)", "log_health")
 def log_truncate_prefix(spark, sf_dir):
     return _text(maintenance.truncate_prefix(fixture(spark, sf_dir, "log_health"), 900, snapshot_seq=800, min_cursor=650, size=100).select("seq", "key"))
@@ -376,6 +417,14 @@ def snapshot_restore_replay(spark, sf_dir):
     return _text(fold.state(store.recover(spark, root, versions)).select("ns", "key", "value", "seq"))
 
 
+@_query("recover_cas_tail", f"{_CAS} SELECT k, cur AS v, live AS seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC) AS rn FROM run) WHERE rn = 1 AND live IS NOT NULL", "events_cas")
+def recover_cas_tail(spark, sf_dir):
+    """A snapshot at EARLY, and the log after it folded upon that."""
+    root, log = new_folder(spark, "snapshots"), as_log(fixture(spark, sf_dir, "events_cas"))
+    store.snapshot(fold.versions(fold.judged(fold.operations(log.filter(F.col("seq") <= EARLY)))), root, EARLY)
+    return _text(fold.state(store.recover_from_log(spark, root, log)).select("key", "value", "seq"))
+
+
 @_query("namespace_isolation", f"SELECT ns, k, v, seq FROM {_live('two_ns')} WHERE k >= 'id:1' AND k < 'id:3'", "two_ns")
 def namespace_isolation(spark, sf_dir):
     return _text(fold.state(_versions(spark, sf_dir, "two_ns").filter(in_range(F.col("key"), "id:1", "id:3"))).select("ns", "key", "value", "seq"))

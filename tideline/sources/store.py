@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import visible
+from ..operators import fold
 from ..operators.fold import KEY
 from ..operators.maintenance import compact, replayed
 from ..schemas import LOG, VERSIONS, struct
@@ -64,6 +65,22 @@ def restore(spark: SparkSession, root: str, seq: int, partition_id: int = 0) ->
     return read_versions(spark, f"{folder}/{told['data']}")
 
 
+def snapshot_due(last_seq: int, applied_seq: int, interval: int) -> bool:
+    """The policy: a snapshot every `interval` applied seqs; 0 never."""
+    return interval > 0 and applied_seq - last_seq >= interval
+
+
+def expire(spark: SparkSession, root: str, keep: int, partition_id: int = 0) -> list[int]:
+    """Deletes all whole snapshots but the newest `keep`, at least one, and returns the seqs that went. A manifest goes first,
+    so a snapshot that is half deleted does not exist."""
+    gone = snapshots(spark, root, partition_id)[: -max(keep, 1)]
+    for seq in gone:
+        for part in ("/manifest", ""):
+            fs, p = file_system(spark, f"{root}/{partition_id}/{seq:020d}{part}")
+            fs.delete(p, True)
+    return gone
+
+
 def recover(spark: SparkSession, root: str, folded: DataFrame, partition_id: int = 0) -> DataFrame:
     """Versions from the latest whole snapshot and, of `folded` versions, those after it; all of them without a snapshot."""
     known = snapshots(spark, root, partition_id)
@@ -72,6 +89,17 @@ def recover(spark: SparkSession, root: str, folded: DataFrame, partition_id: int
     return replayed(restore(spark, root, known[-1], partition_id), folded.filter(F.col("seq") > known[-1]))
 
 
+def recover_from_log(spark: SparkSession, root: str, log: DataFrame, partition_id: int = 0) -> DataFrame:
+    """Versions from the latest whole snapshot and from the entries of the log after it, which alone are folded: conditional sets
+    meet the snapshot's state. Without a snapshot the whole log is folded."""
+    known = snapshots(spark, root, partition_id)
+    if not known:
+        return fold.versions(fold.judged(fold.operations(log)))
+    kept = restore(spark, root, known[-1], partition_id)
+    tail = fold.operations(log.filter(F.col("seq") > known[-1]))
+    return replayed(kept, fold.versions(fold.judged(tail, initial=fold.state(kept))))
+
+
 def compact_store(spark: SparkSession, path: str, to: str, retain_from: int | None = None) -> None:
     """Rewrites a store into a new folder, so readers of the old one are not disturbed."""
     write_versions(compact(read_versions(spark, path), retain_from), to, mode="overwrite")
