@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, near-duplicate removal, secret redaction, source mixing, packing."""
+"""A corpus pipeline: language ID, near-duplicate removal, secret redaction, source mixing, packing.
+
+Defined cases: null, empty and white texts have no letters and go in the first stage; very long texts are read whole by all;
+rows that repeat are one document from the second stage on, told by doc_id and text; a null doc_id is a document like others; ties go to the
+least doc_id; an empty table gives no rows; other columns, whatever their names, are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 
