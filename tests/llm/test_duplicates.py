@@ -102,6 +102,14 @@ def test_keep_first(spark, docs, odd):
     assert [(r["doc_id"], r["text"]) for r in found if (r["doc_id"] or 0) >= 700] in ([(700, one), (701, two)], [(701, two), (700, one)])
 
 
+def test_keep_first_with_a_full_filter(spark, docs, monkeypatch):
+    rows = near_copies(4, 60) + [(700, "some other text of a few words"), (700, "some other text of a few words")]
+    df = docs([(d, t, "en", "a") for d, t in rows])
+    ids = sorted(r["doc_id"] for r in jaccard.keep_first(df, 5, 80).collect())
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", (64, 64))
+    assert sorted(r["doc_id"] for r in jaccard.keep_first(df, 5, 80).collect()) == ids == slow_keep(rows, 5, 80)
+
+
 def test_map_columns_and_repeated_rows(spark):
     rows = [(1, "a text of some eight words stands here", {"a": i % 2}) for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")

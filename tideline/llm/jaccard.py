@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -200,6 +201,28 @@ def _bloom(bits: int):
     return run
 
 
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A filter of keys, one column of longs, sized by their number."""
+    bits = min(max(BLOOM_BITS[0], 1 << (keys.count() * 16).bit_length()), BLOOM_BITS[1])
+    filled = np.zeros(bits // 64, np.uint64)
+    for batch in keys.mapInArrow(_bloom(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+        filled[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return filled
+
+
+def _let_through(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits(keys, len(filled) * 64)
+    return ((filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
+
+
+def _may_be_in(bloom):
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(_let_through(bloom.value, keys.to_numpy(np.int64)))
+
+    return held
+
+
 def _signed(bloom, late, k: int, percent: int, with_text: bool):
     """Of rows whose doc_id the filter does not rule out: the set's hashes, its prefixes in the second and third order, and
     the compressed text."""
@@ -208,9 +231,7 @@ def _signed(bloom, late, k: int, percent: int, with_text: bool):
         filled, common, press = bloom.value, late.value, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             doc = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            at = _bits(doc, len(filled) * 64)
-            chosen = ((filled[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0)
-            for part in slices(batch.filter(pa.array(chosen)), "text"):
+            for part in slices(batch.filter(pa.array(_let_through(filled, doc))), "text"):
                 h, orders, z = [], ([], []), []
                 for text, (tokens, _, longest) in zip(part.column(1), shingles(part.column(1), k), strict=True):
                     if len(tokens):
@@ -288,11 +309,7 @@ class _Join:
     def signed(self, used: DataFrame, name: str, with_text: bool) -> DataFrame:
         """c, p2, p3 and z of used(c) classes, read from texts that a filter of their doc_ids lets through."""
         own = stored(self.classes.join(used, "c", "left_semi").select("c", "h", "g", F.coalesce("rep", F.lit(NULL_ID)).alias("rep")), f"{name}-used")
-        bits = min(max(BLOOM_BITS[0], 1 << (own.count() * 16).bit_length()), BLOOM_BITS[1])
-        filled = np.zeros(bits // 64, np.uint64)
-        for batch in own.select("rep").mapInArrow(_bloom(bits), "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
-            filled[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-        share = self.spark.sparkContext.broadcast(filled)
+        share = self.spark.sparkContext.broadcast(_filter(own.select("rep")))
         texts = self.docs.filter("text IS NOT NULL").mapInArrow(_signed(share, self.late, self.k, self.percent, with_text), "h long, g long, p2 array<int>, p3 array<int>, z binary")
         one = texts.dropDuplicates(["h", "g"]).join(own.select("c", "h", "g").hint("merge"), ["h", "g"]).drop("h", "g")
         out = stored(one, f"{name}-signed")
@@ -387,12 +404,16 @@ def keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
     judged = found.join(best, "c").select("doc_id", "t", "rows", (place == F.col("best")).alias("stays"))
     marks = stored(judged.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "stays"), "copies")
     discard(found)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    left = docs.join(marks.drop("stays"), same, "left_anti")
+    doc, t = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    same = doc.eqNullSafe(F.col("__doc")) & (t == F.col("__t"))
+    # rows that a filter of the marks rules out stay where they are, so only the others are shuffled with their texts
+    may = _may_be_in(docs.sparkSession.sparkContext.broadcast(_filter(marks.select(F.xxhash64("__doc", "__t")))))(F.xxhash64(doc, t))
+    some = docs.filter(may)
+    left = docs.filter(~may).union(some.join(marks.drop("stays").hint("merge"), same, "left_anti"))
     if not marks.filter("stays").limit(1).count():
         return left
     names = docs.columns
-    again = docs.join(marks.filter("stays"), same).select("__doc", "__t", F.struct(*[docs[c] for c in names]).alias("__row"))
+    again = some.join(marks.filter("stays").hint("merge"), same).select("__doc", "__t", F.struct(*[some[c] for c in names]).alias("__row"))
     once = again.groupBy("__doc", "__t").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
     return left.unionByName(once.select("__row.*"))
 
