@@ -280,14 +280,15 @@ class _Join:
         marked = self.docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
         self.rows = stored(marked.mapInArrow(_sets(self.late, k, percent), "row long, doc_id long, t long, n long, h long, g long, p1 array<long>"), "shingle-sets")
         self.classes = stored(self.rows.filter("n > 0").groupBy("h", "g").agg(F.min("row").alias("c"), F.min("doc_id").alias("rep"), F.first("n").alias("n")), "shingle-classes")
-        one = self.rows.select("row", "n", "p1").join(self.classes.select(F.col("c").alias("row")), "row", "left_semi")
+        first = self.rows.select("row", "n", "p1").join(self.classes.select(F.col("c").alias("row")).hint("merge"), "row", "left_semi")
+        one = stored(first, "class-prefixes")
         lists = one.select(F.col("row").alias("c"), F.col("n").cast("int").alias("n"), F.posexplode("p1").alias("at", "token"))
         shared = lists.groupBy("token").count().filter("count > 1").select("token")
         # here and below, what grows with the input is merged at every size
         every = stored(lists.join(shared.hint("merge"), "token", "left_semi").select("token", "c", "n", "at"), "shared-tokens")
         members = every.groupBy("token").agg(*self._members())
         self.lists = stored(every.join(self._first_of_same(members, ["token"]), "token", "left_semi"), "shingle-lists")
-        discard(every)
+        discard(every, one)
 
     @staticmethod
     def _members() -> list[Column]:
