@@ -11,20 +11,21 @@ from .common import discard, stored
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    moved = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's least node) for each node of edges(u, v), stored. Each round's edges are stored and the
-    round's before them deleted; only a count and a checksum of them reach the driver. Rounds go on until nothing changes,
-    which takes logarithmically many of the length of the longest path."""
+    round's before them deleted; only a count and a checksum of them reach the driver. Joins are merged at every size, as
+    the many small tables of the rounds would fill the driver if broadcast. Rounds go on until nothing changes, which takes
+    logarithmically many of the length of the longest path."""
     edges, before = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
     while True:
         last, edges = edges, stored(_small(_large(edges)), "stars")

@@ -287,7 +287,7 @@ class _Join:
         # here and below, what grows with the input is merged at every size
         every = stored(lists.join(shared.hint("merge"), "token", "left_semi").select("token", "c", "n", "at"), "shared-tokens")
         members = every.groupBy("token").agg(*self._members())
-        self.lists = stored(every.join(self._first_of_same(members, ["token"]), "token", "left_semi"), "shingle-lists")
+        self.lists = stored(every.join(self._first_of_same(members, ["token"]).hint("merge"), "token", "left_semi"), "shingle-lists")
         discard(every, one)
 
     @staticmethod
@@ -309,7 +309,7 @@ class _Join:
 
     def signed(self, used: DataFrame, name: str, with_text: bool) -> DataFrame:
         """c, p2, p3 and z of used(c) classes, read from texts that a filter of their doc_ids lets through."""
-        own = stored(self.classes.join(used, "c", "left_semi").select("c", "h", "g", F.coalesce("rep", F.lit(NULL_ID)).alias("rep")), f"{name}-used")
+        own = stored(self.classes.join(used.hint("merge"), "c", "left_semi").select("c", "h", "g", F.coalesce("rep", F.lit(NULL_ID)).alias("rep")), f"{name}-used")
         share = self.spark.sparkContext.broadcast(_filter(own.select("rep")))
         texts = self.docs.filter("text IS NOT NULL").mapInArrow(_signed(share, self.late, self.k, self.percent, with_text), "h long, g long, p2 array<int>, p3 array<int>, z binary")
         one = texts.dropDuplicates(["h", "g"]).join(own.select("c", "h", "g").hint("merge"), ["h", "g"]).drop("h", "g")
@@ -321,11 +321,11 @@ class _Join:
         """Of pairs(a, b) of classes, those that all orders allow and their texts confirm."""
         pairs = stored(pairs, f"{name}-pairs")
         sign = self.signed(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), name, True)
-        one = pairs.join(sign.select(F.col("c").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3")), "b")
+        one = pairs.join(sign.select(F.col("c").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3")).hint("merge"), "b")
         two = one.join(sign.select(F.col("c").alias("a"), "p2", "p3").hint("merge"), "a")
         left = stored(two.filter(F.arrays_overlap("p2", "q2") & F.arrays_overlap("p3", "q3")).select("a", "b"), f"{name}-candidates")
-        hubs = sign.select(F.col("c").alias("a"), F.col("z").alias("za")).join(left.select("a").distinct(), "a", "left_semi")
-        other = left.join(sign.select(F.col("c").alias("b"), F.col("z").alias("zb")), "b")
+        hubs = sign.select(F.col("c").alias("a"), F.col("z").alias("za")).join(left.select("a").distinct().hint("merge"), "a", "left_semi")
+        other = left.join(sign.select(F.col("c").alias("b"), F.col("z").alias("zb")).hint("merge"), "b")
         full = other.join(hubs.hint("merge"), "a").select("a", "b", "za", "zb")
         out = stored(full.mapInArrow(_verified(self.k, self.percent), "u long, v long"), f"{name}-links")
         discard(pairs, sign, left)
@@ -337,18 +337,18 @@ class _Join:
         apart = (F.col("a.c") < F.col("b.c")) & (F.col("a.root") != F.col("b.root")) & self._may("a.", "b.")
         for k in keys:
             apart = apart & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        return a.join(b, apart).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
+        return a.join(b.hint("merge"), apart).select(F.col("a.c").alias("a"), F.col("b.c").alias("b"))
 
     def _crowds(self, rows: DataFrame, keys: list[str], most: int, name: str) -> tuple[DataFrame, DataFrame]:
         """Rows whose keys have several components: those of keys with `most` classes or less, and those with more."""
         each = rows.groupBy(*keys).agg(*self._members(), F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least <> greatest")
         first = self._first_of_same(each, keys).select(*keys, (F.col("size") > most).alias("crowd"))
-        placed = stored(rows.join(first, keys), name)
+        placed = stored(rows.join(first.hint("merge"), keys), name)
         return placed.filter("NOT crowd").drop("crowd"), placed.filter("crowd").drop("crowd")
 
     def rest(self, roots: DataFrame) -> DataFrame:
         """Pairs of classes of a common token that are in different components."""
-        placed = self.lists.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        placed = self.lists.join(roots.select(F.col("node").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         few, many = self._crowds(placed, ["token"], CROWD, "rest-lists")
         pairs, sign = self._pairs(few, ["token"]), None
         for order, most in (("p2", CROWD), ("p3", CROWD**2)):
@@ -356,16 +356,16 @@ class _Join:
                 return pairs.distinct()
             crowd = many.select("c", "n", "root").distinct()
             sign = sign or self.signed(crowd.select("c"), "crowd", False)
-            few, many = self._crowds(crowd.join(sign.select("c", F.posexplode(order).alias("at", "token")), "c"), ["token"], most, f"rest-{order}")
+            few, many = self._crowds(crowd.join(sign.select("c", F.posexplode(order).alias("at", "token")).hint("merge"), "c"), ["token"], most, f"rest-{order}")
             pairs = pairs.unionByName(self._pairs(few, ["token"]))
-        both = many.join(sign.select("c", F.explode("p2").alias("two")), "c")
+        both = many.join(sign.select("c", F.explode("p2").alias("two")).hint("merge"), "c")
         return pairs.unionByName(self._pairs(both, ["token", "two"])).distinct()
 
     def run(self) -> DataFrame:
         """c and root of each class that has links."""
         place = F.struct((F.col("at") / F.col("n")).alias("share"), "c", "n", "at")  # the hub has the token earliest, so it has the fewest tokens of its own
         hubs = self.lists.groupBy("token").agg(F.min(place).alias("hub"))
-        star = self.lists.join(hubs, "token").filter(F.col("hub.c") != F.col("c")).filter(self._may("hub.", "")).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
+        star = self.lists.join(hubs.hint("merge"), "token").filter(F.col("hub.c") != F.col("c")).filter(self._may("hub.", "")).select(F.col("hub.c").alias("a"), F.col("c").alias("b")).distinct()
         edges = self.links(star, "star")
         roots = components(edges)
         more = self.links(self.rest(roots), "rest")
@@ -381,12 +381,12 @@ def _joined(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, t (the text's hash), n, c (null without tokens) and component_id of each row."""
     work = _Join(docs, k, percent)
     roots = work.run()
-    named = work.classes.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = work.classes.join(roots.select(F.col("node").alias("c"), "root").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stored(named.join(least, "root").select("h", "g", "root", "component_id"), "class-components")
+    named = stored(named.join(least.hint("merge"), "root").select("h", "g", "root", "component_id"), "class-components")
     rows = stored(work.rows.select("doc_id", "t", "n", "h", "g"), "shingle-rows")
     discard(work.rows, work.classes, roots)
-    return rows.join(named, ["h", "g"], "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("root")).alias("c"), F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
+    return rows.join(named.hint("merge"), ["h", "g"], "left").select("doc_id", "t", "n", F.when(F.col("n") > 0, F.col("root")).alias("c"), F.when(F.col("n") > 0, F.col("component_id")).alias("component_id"))
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -402,7 +402,7 @@ def keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
     found = stored(_joined(docs, k, percent).filter("n > 0").groupBy("c", "doc_id", "t").agg(F.count("*").alias("rows")), "component-members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
     best = found.groupBy("c").agg(F.min(place).alias("best"))
-    judged = found.join(best, "c").select("doc_id", "t", "rows", (place == F.col("best")).alias("stays"))
+    judged = found.join(best.hint("merge"), "c").select("doc_id", "t", "rows", (place == F.col("best")).alias("stays"))
     marks = stored(judged.filter("NOT stays OR rows > 1").select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "stays"), "copies")
     discard(found)
     doc, t = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
