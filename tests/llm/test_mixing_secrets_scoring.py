@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -217,3 +218,47 @@ def test_gradients():
     step = r.normal(0, 1, len(flat)).astype(np.float32)
     loss = lambda f: -scoring.log_probabilities(f, line, place).mean()
     assert (loss(flat + 1e-3 * step) - loss(flat - 1e-3 * step)) / 2e-3 == pytest.approx(float(full @ step), rel=0.03, abs=1e-3)
+
+
+def plain_step(learner, line, place):
+    """A step of learning word by word of the formulas, in the order of the docstrings."""
+    tables, bias, out_w, out_b = learner.parts
+    h = np.tanh(bias + sum(t[line[place + o]] for o, t in zip(scoring.AROUND, tables)))
+    p = np.exp(h @ out_w + out_b)
+    p *= 1 / (p.sum(1, keepdims=True) * len(place))
+    p[np.arange(len(place)), line[place]] -= 1 / len(place)
+    back = (p @ out_w.T) * (1 - h * h)
+    learner._step(2, h.T @ p)
+    learner._step(3, p.sum(0))
+    learner._step(1, back.sum(0))
+    for k, o in enumerate(scoring.AROUND):
+        cell = line[place + o].astype(np.int64)[:, None] * scoring.HIDDEN + np.arange(scoring.HIDDEN)
+        g = np.bincount(cell.ravel(), weights=back.astype(np.float64).ravel(), minlength=scoring.CLASSES * scoring.HIDDEN)
+        learner._step(0, g.reshape(scoring.CLASSES, scoring.HIDDEN).astype(np.float32), k)
+
+
+def test_steps_equal_the_formulas():
+    r = np.random.default_rng(5)
+    line, place = scoring.padded(r.integers(0, 255, 4000).astype(np.uint8), np.array([0, 1500, 1500, 4000]))
+    fast, slow = (scoring.Learner(scoring.first_parameters()) for _ in range(2))
+    for a, n in ((0, 256), (256, 100), (356, 256), (612, 1), (613, 256), (869, 700)):
+        fast.learn(line, place[a : a + n])
+        plain_step(slow, line, place[a : a + n])
+    assert fast.flat == pytest.approx(slow.flat, rel=1e-3, abs=1e-4)
+
+
+def test_hashes_are_found_and_cost_less_than_bisection():
+    r = np.random.default_rng(8)
+    ends = np.array([np.iinfo(np.int64).min, -1, 0, 1, np.iinfo(np.int64).max])
+    every = np.unique(np.concatenate([r.integers(ends[0], ends[-1], scoring.HOT), ends, np.arange(700, 760)]))
+    for keys in (every, every[:-1], every[1:], every[:1], every[:0], ends):
+        h = np.concatenate([r.choice(every, 200_000), r.integers(ends[0], ends[-1], 100_000), ends])
+        at, own = scoring.Places(keys)[h]
+        assert np.array_equal(own, np.flatnonzero(np.isin(h, keys))) and np.array_equal(keys[at], h[own])
+    took, places = {"places": [], "bisection": []}, scoring.Places(every)
+    for _ in range(7):
+        for name, find in (("places", lambda: places[h]), ("bisection", lambda: np.searchsorted(every, h))):
+            began = time.thread_time()
+            find()
+            took[name].append(time.thread_time() - began)
+    assert min(took["places"]) < 0.7 * min(took["bisection"])

@@ -35,6 +35,9 @@ SHARED = BORDER - FREQUENT
 HOT, MERGE = 1 << 18, 1 << 20
 SHAPES = ((2 * WINDOW, CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 AROUND = np.array([*range(-WINDOW, 0), *range(1, WINDOW + 1)])
+_ONES, _TABLES = np.ones(CLASSES, np.float32), np.arange(2 * WINDOW)[:, None] * CLASSES
+#: The places of the hidden values of each row of the tables, which are added in pairs, as complex numbers.
+_PAIRS = np.arange(2 * WINDOW * CLASSES)[:, None] * (HIDDEN // 2) + np.arange(HIDDEN // 2)
 
 
 def first_parameters(seed: int = 11) -> np.ndarray:
@@ -55,27 +58,44 @@ def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return spans_hash(data, s, e).view(np.int64), first
 
 
+class Places:
+    """The places of hashes in sorted keys, sought from the first key of the same leading bits on."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys).bit_length(), 1)
+        self.n, self.keys, self.shift = len(keys), np.append(keys, np.iinfo(np.int64).max), 64 - bits
+        self.first = np.searchsorted(self._lead(keys), np.arange(1 << bits)).astype(np.int32)
+
+    def _lead(self, h: np.ndarray) -> np.ndarray:
+        return (h >> self.shift) + (1 << (63 - self.shift))
+
+    def __getitem__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of those of h that are among the keys, and which of h they are."""
+        at = self.first.take(self._lead(h))
+        key = self.keys.take(at)
+        less = np.flatnonzero(key < h)
+        while len(less):
+            at[less] += 1
+            key[less] = self.keys.take(at[less])
+            less = less[key[less] < h[less]]
+        own = np.flatnonzero((key == h) & (at < self.n))
+        return at[own], own
+
+
 class Classes:
     """The class of each word by its hash: a class of their own for frequent words, one of SHARED classes for others."""
 
     def __init__(self, frequent: np.ndarray):
         order = np.argsort(frequent)
-        self.hashes, self.numbers = frequent[order], order
+        self.places, self.numbers = Places(frequent[order]), order
 
     def __getitem__(self, h: np.ndarray) -> np.ndarray:
         out = FREQUENT + h % SHARED
-        at, own = found(self.hashes, h)
+        at, own = self.places[h]
         out[own] = self.numbers[at]
         return out.astype(np.uint8)
 
 
-def found(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places in sorted keys of those of h that are there, and which of h they are."""
-    at = np.searchsorted(keys, h)
-    own = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h) if len(keys) else np.zeros(0, np.int64)
-    return at[own], own
-
-
 def padded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes with WINDOW borders before, between and behind texts, and the places of the words."""
     n = len(first) - 1
@@ -85,11 +105,15 @@ def padded(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
-def _hidden(tables: np.ndarray, bias: np.ndarray, line: np.ndarray, place: np.ndarray) -> np.ndarray:
-    total = np.broadcast_to(bias, (len(place), HIDDEN)).copy()
-    for o, t in zip(AROUND, tables, strict=True):
-        total += t.take(line.take(place + o), axis=0)
-    return np.tanh(total, out=total)
+def _hidden(tables: np.ndarray, bias: np.ndarray, near: np.ndarray, out: np.ndarray) -> None:
+    total = tables.reshape(-1, HIDDEN).take(near, axis=0).sum(0)
+    total += bias
+    np.tanh(total, out=out[:, :HIDDEN])
+
+
+def _near(line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each of AROUND, the rows of the words there in the tables, which stand one below the other."""
+    return line.take(place + AROUND[:, None]) + _TABLES
 
 
 def _large(out_w: np.ndarray, out_b: np.ndarray) -> bool:
@@ -97,18 +121,25 @@ def _large(out_w: np.ndarray, out_b: np.ndarray) -> bool:
     return bool((np.abs(out_w).sum(0) + np.abs(out_b)).max() > 60)
 
 
-def log_probabilities(flat: np.ndarray, line: np.ndarray, place: np.ndarray, step: int = 512) -> np.ndarray:
+def _room(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays, filled anew by each step, for n words' hidden values, with a 1 for the bias, and for their logits."""
+    return np.ones((n, HIDDEN + 1), np.float32), np.empty((n, CLASSES), np.float32)
+
+
+def log_probabilities(flat: np.ndarray, line: np.ndarray, place: np.ndarray, step: int = 256) -> np.ndarray:
     tables, bias, out_w, out_b = _split(flat)
-    out, large = np.empty(len(place), np.float64), _large(out_w, out_b)
+    both, out, large = flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES), np.empty(len(place), np.float64), _large(out_w, out_b)
+    room = _room(min(step, len(place)))
     for a in range(0, len(place), step):
         at = place[a : a + step]
-        logits = _hidden(tables, bias, line, at) @ out_w
-        logits += out_b
+        h, logits = (r[: len(at)] for r in room)
+        _hidden(tables, bias, _near(line, at), h)
+        np.matmul(h, both, out=logits)
         if large:
             logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(at)), line[at]].astype(np.float64)
+        own = logits[np.arange(len(at)), line.take(at)].astype(np.float64)
         np.exp(logits, out=logits)
-        out[a : a + step] = own - np.log(logits.sum(1).astype(np.float64))
+        out[a : a + step] = own - np.log((logits @ _ONES).astype(np.float64))
     return out
 
 
@@ -118,7 +149,8 @@ class Learner:
     def __init__(self, flat: np.ndarray, rate: float = 0.1):
         self.flat, self.rate = flat.copy(), rate
         self.squares = [np.full(s, 1e-7, np.float32) for s in SHAPES]
-        self.parts = _split(self.flat)
+        self.parts, self.both = _split(self.flat), self.flat[-(HIDDEN + 1) * CLASSES :].reshape(HIDDEN + 1, CLASSES)
+        self.room, self.row, self.gradient = _room(0), np.arange(0), np.empty(SHAPES[0], np.float32)
 
     def _step(self, i: int, g: np.ndarray, rows=slice(None)) -> None:
         squares, part = self.squares[i][rows], self.parts[i][rows]
@@ -130,23 +162,33 @@ class Learner:
 
     def learn(self, line: np.ndarray, place: np.ndarray) -> None:
         tables, bias, out_w, out_b = self.parts
-        h = _hidden(tables, bias, line, place)
-        p = h @ out_w
-        p += out_b
+        n, near = len(place), _near(line, place)
+        if len(self.room[0]) < n:
+            self.room, self.row = _room(n), np.arange(n) * CLASSES
+        h, p = (r[:n] for r in self.room)
+        h[:, HIDDEN] = 1
+        _hidden(tables, bias, near, h)
+        np.matmul(h, self.both, out=p)
         if _large(out_w, out_b):
             p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p *= 1 / (p.sum(1, keepdims=True) * len(place))
-        p[np.arange(len(place)), line[place]] -= 1 / len(place)
-        back = (p @ out_w.T) * (1 - h * h)
-        self._step(2, h.T @ p)
-        self._step(3, p.sum(0))
-        self._step(1, back.sum(0))
-        weights, column = back.astype(np.float64).ravel(), np.arange(HIDDEN)
-        for k, o in enumerate(AROUND):
-            cell = line.take(place + o).astype(np.int64)[:, None] * HIDDEN + column
-            g = np.bincount(cell.ravel(), weights=weights, minlength=CLASSES * HIDDEN)
-            self._step(0, g.reshape(CLASSES, HIDDEN).astype(np.float32), k)
+        total = p @ _ONES
+        p.reshape(-1)[self.row[:n] + line.take(place)] -= total
+        scale = (1 / (total * n))[:, None]  # of the rows of p, put to the other factor of each product
+        back = p @ out_w.T
+        back *= scale
+        back *= 1 - h[:, :HIDDEN] ** 2
+        self._step(1, h[:, HIDDEN] @ back)
+        h *= scale
+        g = h.T @ p
+        self._step(2, g[:HIDDEN])
+        self._step(3, g[HIDDEN])
+        self.gradient.fill(0)
+        every = self.gradient.view(np.complex64).reshape(-1)
+        pairs, at = back.view(np.complex64).reshape(-1), _PAIRS.take(near, axis=0).reshape(len(near), -1)
+        for k, g in enumerate(self.gradient):
+            np.add.at(every, at[k], pairs)
+            self._step(0, g, k)
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +250,7 @@ def _scored(flat, classes, hot):
                 own = classes.value[h]
                 each = log_probabilities(flat.value, *padded(own, first))
                 shared = np.flatnonzero(own >= FREQUENT)
-                at, known = found(hot.value[0], h[shared])
+                at, known = hot.value[0][h[shared]]
                 each[shared[known]] += hot.value[1][at]
                 rare = np.delete(shared, known)
                 total = np.concatenate([[0], np.cumsum(each)])
@@ -263,7 +305,7 @@ def score(docs: DataFrame) -> DataFrame:
     rest, order = h[FREQUENT:], np.argsort(h[FREQUENT:])
     inside = np.log(n[FREQUENT:]) - np.log(sizes[rest % SHARED])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = texts.mapInArrow(_scored(share(flat), share(classes), share((rest[order], inside[order]))), "row long, doc_id long, n_words long, part double, rare array<long>")
+    parts = texts.mapInArrow(_scored(share(flat), share(classes), share((Places(rest[order]), inside[order]))), "row long, doc_id long, n_words long, part double, rare array<long>")
     parts = stored(parts, "scored-parts")
     size = F.element_at(F.array(*[F.lit(float(x)) for x in sizes]), (F.pmod("hash", F.lit(SHARED)) + 1).cast("int"))
     rare = parts.select("row", F.explode("rare").alias("hash")).join(counted.filter(F.col("n") < least), "hash")
