@@ -207,3 +207,50 @@ def test_merge_sorts_all_suffixes():
         a, b = key(place[i - 1]), key(place[i])
         n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
         assert common[i] == n
+
+
+def plain_merge(transforms, length):
+    """Interleave refinement that passes every suffix through the transforms in every round."""
+    import numpy as np
+
+    bwt, shard = np.concatenate(transforms).astype(np.uint16), np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
+    ends, n = np.sort(shard[bwt == 0], kind="stable"), len(bwt)
+    source, block, common, border = np.arange(n, dtype=np.int32), np.zeros(n, np.int32), np.full(n, length, np.int32), np.zeros(n, bool)
+    border[0], common[0] = True, 0
+    for depth in range(length):
+        symbol = bwt[source]
+        order = np.argsort(symbol, kind="stable")
+        symbol, old = symbol[order], block[order]
+        new = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])])
+        new[: len(ends) + 1] = True
+        common[new > border] = depth
+        border |= new
+        turn = shard[source[order]]
+        turn[: len(ends)] = ends
+        source = np.empty(n, np.int32)
+        source[np.argsort(turn, kind="stable")] = np.arange(n, dtype=np.int32)
+        block = np.cumsum(border, dtype=np.int32)
+    return source, common
+
+
+def test_settled_suffixes_are_passed_over():
+    """Merging equals plain refinement, and costs less where most suffixes are soon alone."""
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for letters, length, count, size in [(1, 30, 20, 40), (2, 1, 20, 40), (2, 9, 60, 40), (3, 69, 60, 90), (20, 69, 600, 140)]:
+        passage = r.integers(1, letters + 1, size)
+        strings = [np.append(np.concatenate([r.integers(1, letters + 1, int(r.integers(0, size))), passage[: int(r.integers(0, size) ** 2 // size)]]), 0).astype(np.uint16) for _ in range(count)]
+        shards = [suffixes.shard_transform(np.concatenate(strings[a : a + count // 3]))[1] for a in range(0, count, count // 3)]
+        took = {suffixes.merge: [], plain_merge: []}
+        for _ in range(3):
+            for merge, times in took.items():
+                began = time.thread_time()
+                found = merge(shards, length)
+                times.append(time.thread_time() - began)
+                if merge is suffixes.merge:
+                    mine = found
+        assert np.array_equal(mine[0], found[0]) and np.array_equal(mine[1], found[1])
+    assert min(took[suffixes.merge]) < 0.8 * min(took[plain_merge])

@@ -8,7 +8,7 @@
 3. Merging. First segments that share an anchor go to one bucket. A bucket is cut into shards, each shard's suffixes are
    sorted and give its Burrows-Wheeler transform, and the transforms are merged by iterative interleave refinement:
    each round passes the interleave through the merged transform and so sorts all suffixes by one more byte,
-   without comparing suffixes of different shards. The round in which a border between neighbours appears is their
+   without comparing suffixes of different shards; those that stand alone by then are passed over. The round in which a border between neighbours appears is their
    common prefix; the intervals without borders after all rounds are the repeated strings. The first place of each stays.
    All windows of a segment hold its anchor, so the anchor's gram is one symbol there and rounds are fewer.
    Segments of an anchor with very many are dealt out further, by ranges of the anchor's place in the window and by the
@@ -68,23 +68,35 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return gram[at[new]], at[new], window[new], window[last], text[window[new]]
 
 
+def _sorted(high: np.ndarray, low: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """`last` in the order of high, low and itself, which are all below n, and where high or low change."""
+    bits = n.bit_length()
+    if 3 * bits < 64:
+        key = np.sort((high << 2 * bits) | (low << bits) | last)
+        last, pair = key & ((1 << bits) - 1), key >> bits
+    else:
+        order = np.lexsort((last, low, high))
+        last, pair = last[order], high[order] * n + low[order]
+    return last, np.concatenate([[True], pair[1:] != pair[:-1]])
+
+
 def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted suffixes and Burrows-Wheeler transform of strings that each end in 0; ends are told apart by place."""
-    n, ends = len(text), np.flatnonzero(text == 0)
+    n, ends, every = len(text), np.flatnonzero(text == 0), np.arange(len(text))
     rank = text.astype(np.int64) + len(ends)
     rank[ends] = np.arange(len(ends))
+    order = np.argsort(rank, kind="stable")
+    new = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
     step = 1
     while True:
-        order = np.argsort(rank, kind="stable")
-        key = rank[order]
-        new = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        number = np.cumsum(new) - 1
         rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
+        rank[order] = number
+        if number[-1] == n - 1:
             break
         ahead = np.zeros(n, np.int64)
         ahead[:-step] = rank[step:]
-        rank = rank * n + ahead
+        order, new = _sorted(rank, ahead, every, n)
         step *= 2
     before = np.concatenate([[0], text[:-1]])
     return order, before[order]
@@ -92,32 +104,41 @@ def shard_transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Merges transforms by interleave refinement. Gives the place in the concatenated transforms of each merged
-    suffix, and the common prefix of each with the one before it, `length` standing for that or more."""
-    sizes = [len(t) for t in transforms]
-    n, bwt = sum(sizes), np.concatenate(transforms).astype(np.uint16)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) < 256 else np.uint16), sizes)
-    ends = np.sort(shard[bwt == 0], kind="stable")
-    places = np.arange(n, dtype=np.int32)
-    source, block, common = places, np.zeros(n, np.int32), np.full(n, length, np.int32)
-    border, new = np.zeros(n, bool), np.empty(n, bool)
-    border[0], common[0] = True, 0
-    for depth in range(length):
-        symbol = bwt[source]
-        order = np.argsort(symbol, kind="stable")
-        symbol, old = symbol[order], block[order]
-        new[0] = True
-        np.not_equal(symbol[1:], symbol[:-1], out=new[1:])
-        new[1:] |= old[1:] != old[:-1]
-        new[: len(ends) + 1] = True
-        common[new > border] = depth
-        border |= new
-        turn = shard[source[order]]
-        turn[: len(ends)] = ends
-        source = np.empty(n, np.int32)
-        source[np.argsort(turn, kind="stable")] = places
-        if border.all():
+    suffix, and the common prefix of each with the one before it, `length` standing for that or more. A suffix alone
+    between two borders is settled; a round passes only the others through the transforms, and sorts where they differ."""
+    n, bwt, begin = sum(map(len, transforms)), np.concatenate(transforms), 0
+    ahead = np.empty(n, np.int64)  # the place of the suffix that is one symbol shorter
+    for t in transforms:
+        ahead[begin : begin + len(t)] = np.argsort(t, kind="stable") + begin
+        begin += len(t)
+    symbol, common = bwt[ahead], np.full(n, length, np.int32)
+    source = np.argsort(symbol, kind="stable")
+    symbol = symbol[source]
+    new = np.concatenate([[True], symbol[1:] != symbol[:-1]])
+    new[: np.count_nonzero(bwt == 0) + 1] = True
+    common[new] = 0
+    block, split, at = np.empty(n, np.int64), np.empty(n, bool), np.arange(n)
+    start = np.maximum.accumulate(np.where(new, at, 0))
+    block[source] = start
+    uneven = at
+    for depth in range(1, length):
+        if len(uneven):
+            open_ = ~(new & np.append(new[1:], True))
+            at, start, new = at[open_], start[open_], new[open_]
+        if not len(at):
             break
-        block = np.cumsum(border, dtype=np.int32)
+        low = block[ahead[source[at]]]
+        uneven = np.flatnonzero((low[1:] != low[:-1]) & ~new[1:])
+        if len(uneven):
+            split[start] = False
+            split[start[uneven]] = True
+            which = np.flatnonzero(split[start])
+            there = at[which]
+            source[there], border = _sorted(start[which], low[which], source[there], n)
+            common[there[border & ~new[which]]] = depth
+            new[which] = border
+            start[which] = np.maximum.accumulate(np.where(border, there, 0))
+            block[source[there]] = start[which]
     return source, common
 
 
