@@ -152,6 +152,35 @@ def test_star_components(spark):
     assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    low, high = -(1 << 63), (1 << 63) - 1
+    pairs = [(i + 1, i) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(low, high), (high, 7), (-5, -6), (-6, -5), (-6, -5), (3, 3), (900, 900)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    want = {i: low for i in range(41)} | {low: low, high: low} | {i: 100 for i in range(100, 130)} | {-5: -6, -6: -6}
+    assert sorted(map(tuple, components.components(edges).collect())) == sorted(want.items())
+    assert components.components(edges.filter("u = v")).count() == components.components(edges.limit(0)).count() == 0
+
+
+def jobs_of(spark, run):
+    """How many jobs run() takes; each exchange is one."""
+    spark.sparkContext.setJobGroup(name := f"counted-{random.random()}", "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_small_tables_are_few_jobs_of_the_driver(spark, docs):
+    """Each job's plans and threads fill the driver, so few links are not settled in rounds, nor pairs sought among none."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert jobs_of(spark, lambda: components.components(edges)) <= 8
+    apart = docs([(i, f"a{i} b{i} c{i} d{i} e{i}", "en", "a") for i in range(20)])
+    assert jobs_of(spark, lambda: jaccard.join(apart).count()) <= 60
+
+
 def slow_removal(rows, length):
     seen, out = set(), []
     done = {}

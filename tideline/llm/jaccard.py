@@ -320,6 +320,9 @@ class _Join:
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of pairs(a, b) of classes, those that all orders allow and their texts confirm."""
         pairs = stored(pairs, f"{name}-pairs")
+        if pairs.isEmpty():
+            discard(pairs)
+            return self.spark.range(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
         sign = self.signed(pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct(), name, True)
         one = pairs.join(sign.select(F.col("c").alias("b"), F.col("p2").alias("q2"), F.col("p3").alias("q3")).hint("merge"), "b")
         two = one.join(sign.select(F.col("c").alias("a"), "p2", "p3").hint("merge"), "a")
@@ -370,7 +373,7 @@ class _Join:
         roots = components(edges)
         more = self.links(self.rest(roots), "rest")
         discard(self.lists)
-        if more.limit(1).count():
+        if not more.isEmpty():
             discard(roots)
             roots = components(edges.unionByName(more))
         discard(edges, more)
